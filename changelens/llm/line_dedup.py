@@ -219,7 +219,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text: str = "text",
         "__t1", "__t2", F.col("pos").cast("int").alias("pos"), "h.h1", "h.h2", *(F.lit(None).cast("binary").alias(c) for c in _PARTS),
     )
     none = [F.lit(None).cast(t).alias(c) for c, t in (("__t1", "long"), ("__t2", "long"), ("pos", "int"), ("h1", "long"), ("h2", "long"))]
-    arrays = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"), F.lit(0).alias("kind"), *none, *_PARTS)
+    arrays = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), *none, *_PARTS)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now = None, None
