@@ -5,7 +5,7 @@ linear in a document's features, as half of |sum v_i x_i|^2 - sum |v_i x_i|^2.
 
 Features: words (A-Z lower-cased) hashed to 2^14 buckets with log counts scaled to unit length,
 and figures of the text's form (length, shares of capitals, digits, signs, repeated lines and
-words, word length), each as a one-of-bins indicator.
+words, words equal to the one before, word length), each as a one-of-bins indicator.
 
 The model is fitted on a bounded sample of about SAMPLE_ROWS labelled documents chosen by a hash
 of doc_id; their features are gathered on the driver, at most a row's distinct buckets each.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ EDGES = {
     "distinct words": (0.1, 0.3, 0.5, 0.7, 0.9),
     "letters a word": (2, 4, 6, 8, 12),
     "words a line": (2, 5, 10, 30, 100),
+    "words in a row": (0.01, 0.05, 0.1, 0.3, 0.6),
 }
 _FIRST = {name: BUCKETS + sum(len(e) + 1 for e in list(EDGES.values())[:k]) for k, name in enumerate(EDGES)}
 DIMS = BUCKETS + sum(len(e) + 1 for e in EDGES.values())
@@ -67,7 +69,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = max(1, len(text) - _without(text, _WHITE))
     figures = (
         np.log2(n), upper / max(1, upper + lower), _without(text, _DIGITS) / inside, _without(text, _SIGNS) / n,
-        1 - len(set(lines)) / max(1, len(lines)), len(at) / n, inside / n, n / max(1, len(lines)),
+        1 - len(set(lines)) / max(1, len(lines)), len(at) / n, inside / n, n / max(1, len(lines)), sum(map(eq, words, words[1:])) / n,
     )
     bins = [_FIRST[name] + int(np.searchsorted(edges, x)) for (name, edges), x in zip(EDGES.items(), figures, strict=True)]
     return np.concatenate([at, bins]).astype(np.int32), np.concatenate([value, np.full(len(bins), 0.5)]).astype(np.float32)

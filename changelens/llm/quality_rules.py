@@ -17,6 +17,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,13 @@ def _dense_symbols(text: bytes, s) -> bool:
 
 def _repeated_lines(text: bytes, s) -> bool:
     lines = sum(1 for x in text.split(b"\n") if x.strip())
-    return lines >= 4 and 10 * s[3] > 3 * lines
+    return lines >= 4 and 10 * s[3] > 4 * lines
+
+
+def _stutter(text: bytes, s) -> bool:
+    """Over 30 % of the words equal the word before."""
+    words = text.split()
+    return 10 * sum(map(eq, words, words[1:])) > 3 * len(words)
 
 
 def _shouting(text: bytes, s) -> bool:
@@ -100,6 +107,7 @@ def _mostly_bullets(text: bytes, s) -> bool:
 RULES = (
     Rule("dense symbols", _dense_symbols),
     Rule("repeated lines", _repeated_lines),
+    Rule("stutter", _stutter),
     Rule("shouting", _shouting),
     Rule("word length", _word_length),
     Rule("few letters", _few_letters),

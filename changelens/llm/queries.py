@@ -147,11 +147,11 @@ ORACLE_SQL = {
                      (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
                      length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(t, '[^a-z]', '', 'g')) AS low,
                      length(regexp_replace(t, '[A-Za-z\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g')) AS other,
-                     len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS bullets
+                     len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS bullets, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS stutter
               FROM d LEFT JOIN rep USING (r)),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT (base_failed OR (10 * n_symbols > n_words AND n_symbols >= 5) OR (len(ls) >= 4 AND 10 * n_dup_lines > 3 * len(ls)) OR (up + low >= 50 AND up > low)
+               NOT (base_failed OR (10 * n_symbols > n_words AND n_symbols >= 5) OR (len(ls) >= 4 AND 10 * n_dup_lines > 4 * len(ls)) OR 10 * stutter > 3 * n_words OR (up + low >= 50 AND up > low)
                     OR (n_words >= 50 AND NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)) OR (n_words >= 50 AND 10 * (word_chars - other) < 6 * word_chars)
                     OR (len(ls) >= 10 AND 10 * bullets > 9 * len(ls))) AS kept
         FROM b
