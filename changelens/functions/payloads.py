@@ -106,7 +106,7 @@ def coerce_score(c: Column | str) -> Column:
         word = F.when(hit, value) if word is None else word.when(hit, value)
     n = _number(text)
     scaled = F.when((n > 0) & (n <= 1), n * 100).otherwise(n)
-    return F.coalesce(word, F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled)), F.lit(50.0))
+    return F.coalesce(word, F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled))), F.lit(50.0))
 
 
 def coerce_confidence(c: Column | str) -> Column:

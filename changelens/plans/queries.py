@@ -685,7 +685,7 @@ _SCORES = ("91%", "high", "0.85", "critical", "about 40 points", "none", "140",
     f"""WITH t AS (SELECT event_id, {_list(_SCORES)}[1 + event_id % {len(_SCORES)}] AS v FROM events), u AS (SELECT event_id, regexp_replace(trim(v), '%+$', '') AS v, v AS w FROM t),
     n AS (SELECT *, TRY_CAST(nullif(regexp_extract(v, '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) AS x FROM u)
     SELECT event_id, CASE lower(v) WHEN 'noise' THEN 15.0 WHEN 'low' THEN 40.0 WHEN 'medium' THEN 60.0 WHEN 'high' THEN 78.0 WHEN 'critical' THEN 92.0
-        ELSE coalesce(greatest(0.0, least(100.0, CASE WHEN x > 0 AND x <= 1 THEN x * 100 ELSE x END)), 50.0) END AS score,
+        ELSE CASE WHEN x IS NULL THEN 50.0 ELSE greatest(0.0, least(100.0, CASE WHEN x > 0 AND x <= 1 THEN x * 100 ELSE x END)) END END AS score,
         CASE WHEN x IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, CASE WHEN x > 1 THEN x / 100 ELSE x END)) END AS confidence FROM n"""
 )
 def score_coercion(spark, sf_dir):
