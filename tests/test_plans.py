@@ -99,3 +99,21 @@ def test_entry_survives_without_the_corpus_operators(monkeypatch):
     assert "pipeline" not in bare.queries() and "evaluate_pairs" in bare.queries()
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_edits_and_narrators(spark):
+    from changelens.operators import narrate
+    from changelens.sources import edits
+
+    have = spark.createDataFrame([(1, "Firm", "https://f.com", True, "daily")], "id long, name string, website_url string, active boolean, tracking_frequency string").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    wanted = spark.createDataFrame([("FIRM", "https://f2.com", ""), ("New", "new.com", ""), ("Bad", "http://127.0.0.1", "")], "name string, website_url string, description string")
+    got = edits.new_competitors(have, wanted, "2024-01-01").collect()
+    assert [(r.name, r.website_url, r.active) for r in got] == [("New", "https://new.com", True)] and got[0].id > 1
+    urls = spark.createDataFrame([(1, "https://f.com/a")], "competitor_id long, url string")
+    asked = spark.createDataFrame([(1, "f.com/a", ""), (1, "f.com/pricing#x", ""), (1, "ftp://f.com", "")], "competitor_id long, url string, label string")
+    assert [(r.url, r.page_type) for r in edits.new_urls(urls, asked, "2024-01-01").collect()] == [("https://f.com/pricing", "pricing")]
+    assert not edits.toggled(have, have.select("id"), "2024-01-02").first().active
+    assert edits.merged(have, spark.createDataFrame([(1, "Firma", None)], "id long, name string, website_url string")).first()[1:3] == ("Firma", "https://f.com")
+    assert narrate.narrator("unknown")[0] == "deterministic"
+    facts = spark.createDataFrame([("pricing", "main", "a", "b", {"x": 1.0}, ["e"], 50.0, 0.5)], "category string, location string, before string, after string, signals map<string,double>, evidence array<string>, relevance_score double, classifier_confidence double")
+    assert '"before":"a"' in narrate.context(facts).first().prompt
