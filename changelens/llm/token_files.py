@@ -26,7 +26,7 @@ from .tokenizing import default_file, encoder
 #: Bytes of a row group, and bytes and rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 128 << 10, 2_000
 #: Rows of a file.
-ROWS_PER_FILE = 40_000
+ROWS_PER_FILE = 20_000
 
 
 def token_rows(docs: DataFrame, end_id: int = 0, file: str | None = None, text: str = "text") -> DataFrame:

@@ -14,8 +14,10 @@ _PIECE = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+"
     r"| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+"
 )
-#: Pre-tokens remembered in a worker before it starts afresh.
-MEMO = 400_000
+#: Pre-tokens of a generation of the memory: when it is full it becomes the old one, and what is still used moves on.
+MEMO = 200_000
+#: New pre-tokens that are encoded as one text, a line each.
+JOINED = 256
 
 _encoders: dict[str, Encoder] = {}
 
@@ -34,18 +36,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of new pre-tokens. A line break is a pre-token and an id of its own between two others, so lines are encoded together and parted at it."""
+        blank = [p for p in pieces if p.isspace()]
+        self.memo.update(zip(blank, self._ids(blank), strict=True))
+        lines = [p for p in pieces if not p.isspace()]
+        groups = [lines[i : i + JOINED] for i in range(0, len(lines), JOINED)]
+        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
+            ends = (np.nonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.line, "<u4")[0])[0] * 4).tolist()
+            self.memo.update(zip(group, [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if _OTHER.search(t)]
-        pieces = [_PIECE.findall(t) for t in texts] if not whole else [[] if _OTHER.search(t) else _PIECE.findall(t) for t in texts]
-        new = list(set().union(*pieces) - self.memo.keys()) if pieces else []
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set().union(*pieces))
-        self.memo.update(zip(new, self._ids(new), strict=True))
+        pieces = [_PIECE.findall(t) for t in texts]
+        for i in whole:
+            pieces[i] = []
+        used = set().union(*pieces)
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        new = used - self.memo.keys()
+        again = new & self.old.keys()
+        self.memo.update((p, self.old[p]) for p in again)
+        self._learn(list(new - again))
         get = self.memo.__getitem__
         out = [b"".join(map(get, p)) for p in pieces]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
