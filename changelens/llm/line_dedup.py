@@ -135,6 +135,10 @@ def _hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
 
 
+def shard_count(keys: int) -> int:
+    return max(1, -(-keys // KEYS_PER_SHARD))
+
+
 def line_index(docs: DataFrame, min_docs: int, text: str = "text") -> DataFrame:
     """Shards (shard, n_keys, sizes, bits, prints, counts, rest) of the lines in at least min_docs documents."""
     spark = docs.sparkSession
@@ -144,7 +148,7 @@ def line_index(docs: DataFrame, min_docs: int, text: str = "text") -> DataFrame:
         keys.select(_hashes(F.col("key")).alias("h")).groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs),
         "line-counts",
     )
-    n_shards = max(1, -(-counted.count() // KEYS_PER_SHARD))
+    n_shards = shard_count(counted.count())
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
@@ -181,12 +185,11 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, text: str = "text",
     """docs with kept_text, n_lines and n_dropped: lines found in at least min_docs documents are gone."""
     spark = docs.sparkSession
     shards = line_index(docs, min_docs, text)
-    size, n_shards = shards.agg(F.coalesce(F.sum(sum(F.length(c) for c in _PARTS)), F.lit(0)), F.coalesce(F.max("shard") + 1, F.lit(1))).first()
+    size, total = shards.agg(F.coalesce(F.sum(sum(F.length(c) for c in _PARTS)), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    n_shards = shard_count(int(total))
     base = docs.drop("kept_text", "n_lines", "n_dropped")
     names = base.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, kept_text string, n_lines long, n_dropped long"
-    total = int(shards.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0])
-    n_shards = max(1, int(n_shards), -(-total // KEYS_PER_SHARD))
 
     def of_batch(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.Array]:
         flat = batch.column(column)

@@ -49,8 +49,9 @@ def brute_lines(texts, least):
     return [(len((t or "").split("\n")), "\n".join(x for x in (t or "").split("\n") if not key(x) or found[key(x)] < least)) for t in texts]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_line_dedup(docs, empty, limit):
+@pytest.mark.parametrize(("limit", "keys"), [(1 << 20, 500_000), (1 << 20, 1), (0, 1)])
+def test_line_dedup(docs, empty, limit, keys, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", keys)
     got = line_dedup.drop_repeated_lines(docs, min_docs=3, broadcast_bytes=limit)
     assert set(docs.columns) < set(got.columns)
     expected = Counter((r[0], *x) for r, x in zip(rows(), brute_lines([r[1] for r in rows()], 3), strict=True))
