@@ -60,6 +60,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None = N
 
     again = staged(rows.filter("__again").withColumn("__at", F.monotonically_increasing_id()), "dedup-survivors")
     best = F.max(F.struct(F.col("__chars").alias("chars"), (-F.col("__id")).alias("id"), (-F.col("__at")).alias("at")))
-    groups = again.groupBy("__digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that both sides of the join are plain exchanges and a large group of copies can be split.
+    groups = staged(again.groupBy("__digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     shared = again.join(groups, "__digest").select("__row.*", (-F.col("best.id")).alias("keep_id"), "group_size", (F.col("__at") == -F.col("best.at")).alias("kept"), F.col("__digest").alias("text_sha256"))
     return alone.unionByName(shared)
