@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, line_dedup, mixing, packing, quality_fm, quality_rules, simhash, token_files, url_filter
-from ._shared import fresh_path, table
+from ._shared import fresh_path, n_words, staged, table
 
 
 def _in_fold(modulus: int, fold: int) -> Column:
@@ -20,7 +20,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # The mix needs sizes only: whole texts are counted once and not shuffled.
+    sizes = staged(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n_words")), "mix-sizes")
+    mixed = mixing.mix(sizes, size=F.col("n_words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_taken")).alias("taken"))
 
 
