@@ -246,10 +246,20 @@ def _sql_redact(x: str) -> str:
     return x
 
 
+def _secret_tail():
+    return F.get(F.array(*map(F.lit, _SECRET_TAILS)), (F.col("doc_id") % len(_SECRET_TAILS)).cast("int"))
+
+
 @query("SELECT doc_id, " + _sql_redact(f"left(text, 80) || {_list(_SECRET_TAILS)}[1 + doc_id % {len(_SECRET_TAILS)}]") + " AS out FROM documents")
 def redact(spark, sf_dir):
-    tail = F.get(F.array(*map(F.lit, _SECRET_TAILS)), (F.col("doc_id") % len(_SECRET_TAILS)).cast("int"))
-    return _docs(spark, sf_dir, out=text.redact_secrets(F.concat(F.left("text", F.lit(80)), tail)))
+    """The first 80 characters only, as in the SQL; redact_documents takes whole texts."""
+    return _docs(spark, sf_dir, out=text.redact_secrets(F.concat(F.left("text", F.lit(80)), _secret_tail())))
+
+
+@query()
+def redact_documents(spark, sf_dir):
+    """Whole texts, each with the planted tail; a row without a usable doc_id has no tail."""
+    return _docs(spark, sf_dir, out=text.redact_secrets(F.concat("text", F.coalesce(_secret_tail(), F.lit("")))))
 
 
 # ---------------------------------------------------------------- pages and URLs
