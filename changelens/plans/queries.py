@@ -14,7 +14,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
+from ..arrow import with_python
 from ..functions import patterns as P
 from ..functions import payloads, text, urls
 from ..operators import classify, diff, html, narrate, noise, relevance, snapshots
@@ -101,10 +103,10 @@ def _hex(expr, a: int, n: int):
     return F.conv(F.substring(F.md5(expr), a, n), 16, 10).cast("int")
 
 
-def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, seq, before, after, location, change_type, magnitude)."""
-    # The engines disagree on word borders beside accents, so these stand-ins are made ASCII.
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
+def change_rows(spark: SparkSession, sf_dir: str, real: bool = False) -> DataFrame:
+    """(doc_id, seq, before, after, location, change_type, magnitude), of the real lines or of ASCII ones."""
+    # The engines disagree on word borders beside accents, so what is compared with SQL is made ASCII.
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text" if real else F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
     lines = lambda df, key: df.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line"))
     before = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("before_id"))
     now = lines(docs, "doc_id").join(before, "doc_id")
@@ -195,6 +197,22 @@ def query(sql: str | None = None):
     return put
 
 
+def change_query(sql: str):
+    """Register a query over change rows twice: of ASCII lines, with its SQL, and as real_<name> of the lines as they are, without."""
+
+    def put(f):
+        for name, real in ((f.__name__, False), (f"real_{f.__name__}", True)):
+
+            def run(spark, sf_dir, real=real):
+                return f(change_rows(spark, sf_dir, real))
+
+            run.__name__, run.__doc__ = name, f.__doc__
+            query(None if real else sql)(run)
+        return QUERIES[f.__name__]
+
+    return put
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -212,9 +230,9 @@ def mask_tokens(spark, sf_dir):
     return _docs(spark, sf_dir, out=text.strip_dynamic_tokens("text"))
 
 
-@query(f"WITH {CHANGE_ROWS} SELECT doc_id, seq, {sql_canon('after')} AS out FROM chg")
-def canonicalise(spark, sf_dir):
-    return change_rows(spark, sf_dir).select("doc_id", "seq", text.canonicalise("after").alias("out"))
+@change_query(f"WITH {CHANGE_ROWS} SELECT doc_id, seq, {sql_canon('after')} AS out FROM chg")
+def canonicalise(rows):
+    return rows.select("doc_id", "seq", text.canonicalise("after").alias("out"))
 
 
 @query(f"SELECT doc_id, sha256({sql_canon('text')}) AS out FROM documents")
@@ -428,26 +446,25 @@ def diff_changes(spark, sf_dir):
 
 @query()
 def word_diff(spark, sf_dir):
-    return diff.with_word_diff(change_rows(spark, sf_dir)).select("doc_id", "seq", F.to_json("segments").alias("segments"))
+    return diff.with_word_diff(change_rows(spark, sf_dir, real=True)).select("doc_id", "seq", F.to_json("segments").alias("segments"))
 
 
-@query(
+@change_query(
     f"""WITH {CHANGE_ROWS} SELECT doc_id, min(seq) AS seq FROM (SELECT doc_id, seq, location, left({sql_canon('before')}, 200) AS b, left({sql_canon('after')}, 200) AS a FROM chg) GROUP BY doc_id, location, b, a"""
 )
-def dedupe_changes(spark, sf_dir):
-    return diff.first_of_repeats(change_rows(spark, sf_dir), ["doc_id"]).select("doc_id", "seq")
+def dedupe_changes(rows):
+    return diff.first_of_repeats(rows, ["doc_id"]).select("doc_id", "seq")
 
 
-@query(
+@change_query(
     f"""WITH {CHANGE_ROWS}, t AS (SELECT doc_id, seq, CASE WHEN before <> '' THEN ['p', 'h2', 'li'][1 + seq % 3] END AS bt, CASE WHEN after <> '' THEN ['h1', 'p', 'td'][1 + (seq // 3) % 3] END AS tn,
         CASE WHEN seq % 2 = 0 THEN location ELSE 'body' END AS bl, CASE WHEN seq % 4 < 2 THEN 'main' ELSE location END AS al FROM chg)
     SELECT doc_id, seq, CASE WHEN bt IS NULL THEN 'added' WHEN tn IS NULL THEN 'removed' WHEN bt = 'h2' OR tn = 'h1' THEN 'headline_change' ELSE 'text_change' END AS change_type,
         CASE WHEN al NOT IN ('body', 'main') THEN al WHEN bl NOT IN ('body', 'main') THEN bl ELSE al END AS location FROM t"""
 )
-def change_types(spark, sf_dir):
+def change_types(rows):
     seq = F.col("seq")
     tags = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
-    rows = change_rows(spark, sf_dir)
     before = F.when(F.col("before") != "", tags(("p", "h2", "li"), seq % 3))
     after = F.when(F.col("after") != "", tags(("h1", "p", "td"), F.floor(seq / 3) % 3))
     old, new = F.when(seq % 2 == 0, F.col("location")).otherwise("body"), F.when(seq % 4 < 2, "main").otherwise(F.col("location"))
@@ -459,10 +476,19 @@ _SQL_MAGNITUDE = "CASE WHEN cb = ca THEN 0.0 WHEN cb = '' OR ca = '' THEN round(
 
 @query(f"WITH {CHANGE_ROWS}, c AS (SELECT *, {sql_canon('before')} AS cb, {sql_canon('after')} AS ca FROM chg) SELECT doc_id, seq, CAST({_SQL_MAGNITUDE} AS DOUBLE) AS magnitude FROM c")
 def change_magnitude(spark, sf_dir):
+    """With the planted figure for the similarity, as in the SQL; real_change_magnitude computes it."""
     size = diff.magnitude(text.canonicalise("before"), text.canonicalise("after"), F.col("magnitude"))
     return change_rows(spark, sf_dir).select("doc_id", "seq", size.alias("magnitude"))
 
 
+@query()
+def real_change_magnitude(spark, sf_dir):
+    """Size of each change of the real lines by the similarity of its canonical texts."""
+    keys = change_rows(spark, sf_dir, real=True).select("doc_id", "seq", text.canonicalise("before").alias("old"), text.canonicalise("after").alias("new"))
+    rated = with_python(keys, ["old", "new"], StructField("ratio", DoubleType()), diff.similarity)
+    return rated.select("doc_id", "seq", diff.magnitude(F.col("old"), F.col("new"), F.col("ratio")).alias("magnitude"))
+
+
 @query()
 def evaluate_pairs(spark, sf_dir):
     """The core pipeline on pages against a rewritten revision of themselves."""
@@ -515,25 +541,25 @@ _SQL_REASON = f"""CASE
 NOISE = f"{CHANGE_ROWS}, {_SQL_FACTS}, nz AS (SELECT *, {_SQL_REASON} AS noise_reason FROM facts)"
 
 
-@query(f"WITH {NOISE} SELECT doc_id, seq, noise_reason, noise_reason IS NOT NULL AS is_noise FROM nz")
-def noise_reason(spark, sf_dir):
-    return noise.filter_noise(change_rows(spark, sf_dir)).select("doc_id", "seq", "noise_reason", "is_noise")
+@change_query(f"WITH {NOISE} SELECT doc_id, seq, noise_reason, noise_reason IS NOT NULL AS is_noise FROM nz")
+def noise_reason(rows):
+    return noise.filter_noise(rows).select("doc_id", "seq", "noise_reason", "is_noise")
 
 
-@query(f"WITH {NOISE} SELECT noise_reason, count(*) AS n FROM nz WHERE noise_reason IS NOT NULL GROUP BY 1")
-def noise_breakdown(spark, sf_dir):
-    return noise.noise_breakdown(noise.filter_noise(change_rows(spark, sf_dir)), "doc_id")
+@change_query(f"WITH {NOISE} SELECT noise_reason, count(*) AS n FROM nz WHERE noise_reason IS NOT NULL GROUP BY 1")
+def noise_breakdown(rows):
+    return noise.noise_breakdown(noise.filter_noise(rows), "doc_id")
 
 
-@query(f"WITH {NOISE} SELECT count(*) AS raw, count(noise_reason) AS noise, count(*) - count(noise_reason) AS meaningful, round(count(noise_reason) * 100.0 / count(*), 2) AS noise_reduction FROM nz")
-def noise_funnel(spark, sf_dir):
-    rows = noise.filter_noise(change_rows(spark, sf_dir)).agg(F.count(F.lit(1)).alias("raw"), F.count_if("is_noise").alias("noise"), F.count_if(~F.col("is_noise")).alias("meaningful"))
+@change_query(f"WITH {NOISE} SELECT count(*) AS raw, count(noise_reason) AS noise, count(*) - count(noise_reason) AS meaningful, round(count(noise_reason) * 100.0 / count(*), 2) AS noise_reduction FROM nz")
+def noise_funnel(rows):
+    rows = noise.filter_noise(rows).agg(F.count(F.lit(1)).alias("raw"), F.count_if("is_noise").alias("noise"), F.count_if(~F.col("is_noise")).alias("meaningful"))
     return rows.withColumn("noise_reduction", analytics.noise_reduction(F.col("noise"), F.col("raw")))
 
 
-@query(f"WITH {CHANGE_ROWS} SELECT doc_id, seq, array_to_string({_sql_prices('after')}, '|') AS prices FROM chg")
-def price_tokens(spark, sf_dir):
-    return change_rows(spark, sf_dir).select("doc_id", "seq", F.array_join(noise.price_tokens(F.col("after")), "|").alias("prices"))
+@change_query(f"WITH {CHANGE_ROWS} SELECT doc_id, seq, array_to_string({_sql_prices('after')}, '|') AS prices FROM chg")
+def price_tokens(rows):
+    return rows.select("doc_id", "seq", F.array_join(noise.price_tokens(F.col("after")), "|").alias("prices"))
 
 
 # ---------------------------------------------------------------- classes
@@ -577,36 +603,36 @@ _SQL_CLASS = f"""
 CLASSES = f"{CHANGE_ROWS}, {_SQL_CLASS}"
 
 
-@query(f"WITH {CLASSES} SELECT doc_id, seq, round(s1, 6) AS pricing, round(s2, 6) AS hiring, round(s3, 6) AS features, round(s4, 6) AS integrations, round(s5, 6) AS product, round(s6, 6) AS messaging FROM cls")
-def detector_scores(spark, sf_dir):
-    rows = classify.detect(change_rows(spark, sf_dir))
+@change_query(f"WITH {CLASSES} SELECT doc_id, seq, round(s1, 6) AS pricing, round(s2, 6) AS hiring, round(s3, 6) AS features, round(s4, 6) AS integrations, round(s5, 6) AS product, round(s6, 6) AS messaging FROM cls")
+def detector_scores(rows):
+    rows = classify.detect(rows)
     by_name = F.map_from_entries(F.transform("detected", lambda x: F.struct(x["category"], F.round(x["score"], 6))))
     return rows.select("doc_id", "seq", *(F.element_at(by_name, c).alias(c) for c, _ in classify.DETECTORS))
 
 
-@query(f"WITH {CLASSES} SELECT doc_id, seq, category, new_type AS change_type, confidence, {sql_round('score', 4)} AS detector_score, {sql_round('margin', 4)} AS detector_margin FROM cls")
-def classify_changes(spark, sf_dir):
-    rows = classify.classify(change_rows(spark, sf_dir))
+@change_query(f"WITH {CLASSES} SELECT doc_id, seq, category, new_type AS change_type, confidence, {sql_round('score', 4)} AS detector_score, {sql_round('margin', 4)} AS detector_margin FROM cls")
+def classify_changes(rows):
+    rows = classify.classify(rows)
     signal = lambda name: F.try_element_at("signals", F.lit(name)).alias(name)
     return rows.select("doc_id", "seq", "category", "change_type", F.col("classifier_confidence").alias("confidence"), signal("detector_score"), signal("detector_margin"))
 
 
-@query(f"WITH {CLASSES} SELECT doc_id, seq, array_to_string(lim, '|') AS limits FROM cls")
-def plan_limits(spark, sf_dir):
+@change_query(f"WITH {CLASSES} SELECT doc_id, seq, array_to_string(lim, '|') AS limits FROM cls")
+def plan_limits(rows):
     limits = F.transform(classify.plan_limits(F.col("after")), lambda x: F.concat(x["unit"], F.lit("="), x["value"]))
-    return change_rows(spark, sf_dir).select("doc_id", "seq", F.array_join(F.array_sort(limits), "|").alias("limits"))
+    return rows.select("doc_id", "seq", F.array_join(F.array_sort(limits), "|").alias("limits"))
 
 
-@query(f"WITH {CLASSES} SELECT doc_id, seq, array_to_string(list_sort(list_filter(na, lambda v: NOT list_contains(nb, v))), '|') AS partners FROM cls")
-def partners_new(spark, sf_dir):
+@change_query(f"WITH {CLASSES} SELECT doc_id, seq, array_to_string(list_sort(list_filter(na, lambda v: NOT list_contains(nb, v))), '|') AS partners FROM cls")
+def partners_new(rows):
     fresh = F.array_sort(F.array_except(classify.partners(F.col("after")), classify.partners(F.col("before"))))
-    return change_rows(spark, sf_dir).select("doc_id", "seq", F.array_join(fresh, "|").alias("partners"))
+    return rows.select("doc_id", "seq", F.array_join(fresh, "|").alias("partners"))
 
 
-@query(f"WITH {CLASSES} SELECT doc_id, seq, array_to_string(list_transform(pa, lambda v: printf('%.2f', v)), '|') AS prices FROM cls")
-def price_amounts(spark, sf_dir):
+@change_query(f"WITH {CLASSES} SELECT doc_id, seq, array_to_string(list_transform(pa, lambda v: printf('%.2f', v)), '|') AS prices FROM cls")
+def price_amounts(rows):
     amounts = F.transform(classify.prices(F.col("after")), lambda x: F.format_string("%.2f", x))
-    return change_rows(spark, sf_dir).select("doc_id", "seq", F.array_join(amounts, "|").alias("prices"))
+    return rows.select("doc_id", "seq", F.array_join(amounts, "|").alias("prices"))
 
 
 # ---------------------------------------------------------------- relevance
@@ -641,9 +667,9 @@ _SQL_SCORE = f"""
     scored AS (SELECT *, greatest(0.0, least(100.0, CASE WHEN mul > 1.0 THEN base + (100.0 - base) * least(mul - 1.0, 1.0) ELSE base * mul END)) AS raw FROM g3)"""
 
 
-@query(f"WITH {CLASSES}, {_SQL_SCORE} SELECT doc_id, seq, category, {sql_round('raw', 2)} AS relevance_score, {sql_severity('raw')} AS severity FROM scored")
-def relevance_score(spark, sf_dir):
-    rows = relevance.score_changes(classify.classify(change_rows(spark, sf_dir)).withColumn("is_noise", F.lit(False)))
+@change_query(f"WITH {CLASSES}, {_SQL_SCORE} SELECT doc_id, seq, category, {sql_round('raw', 2)} AS relevance_score, {sql_severity('raw')} AS severity FROM scored")
+def relevance_score(rows):
+    rows = relevance.score_changes(classify.classify(rows).withColumn("is_noise", F.lit(False)))
     return rows.select("doc_id", "seq", "category", "relevance_score", "severity")
 
 
@@ -679,13 +705,13 @@ def worst_status(spark, sf_dir):
     return narrate.worst_status(narrate.budgeted(change_log(spark, sf_dir), ["competitor_id"], 8, order="id"), ["competitor_id"])
 
 
-@query(
+@change_query(
     f"""WITH {CHANGE_ROWS}, g AS (SELECT doc_id, seq, lower(trim(CASE seq % 3 WHEN 0 THEN upper(left(after, 20)) WHEN 1 THEN after || ' and more' ELSE 'something else entirely' END)) AS a, lower(trim(before)) AS b FROM chg)
     SELECT doc_id, seq, a = '' OR contains(b, a) OR (b <> '' AND contains(a, b)) AS grounded FROM g"""
 )
-def grounding_check(spark, sf_dir):
+def grounding_check(rows):
     claimed = F.when(F.col("seq") % 3 == 0, F.upper(F.left("after", F.lit(20)))).when(F.col("seq") % 3 == 1, F.concat("after", F.lit(" and more"))).otherwise("something else entirely")
-    return change_rows(spark, sf_dir).select("doc_id", "seq", narrate.grounded(claimed, F.col("before")).alias("grounded"))
+    return rows.select("doc_id", "seq", narrate.grounded(claimed, F.col("before")).alias("grounded"))
 
 
 _SCORES = ("91%", "high", "0.85", "critical", "about 40 points", "none", "140", "-5", "1", " Low ", "62.5")
@@ -725,12 +751,12 @@ def payload_fields(spark, sf_dir):
 
 @query()
 def narration(spark, sf_dir):
-    rows = relevance.score_changes(classify.classify_survivors(noise.filter_noise(change_rows(spark, sf_dir))))
+    rows = relevance.score_changes(classify.classify_survivors(noise.filter_noise(change_rows(spark, sf_dir, real=True))))
     told = narrate.narrate(narrate.candidates(rows).withColumn("subject", F.concat(F.lit("C"), F.col("doc_id").cast("string"))))
     return told.select("doc_id", "seq", "title", "summary", "business_impact", "recommended_action")
 
 
-@query(
+@change_query(
     f"""WITH {CLASSES}, {_SQL_SCORE}, c AS (SELECT *, 'C' || doc_id AS n FROM scored) SELECT doc_id, seq, CASE
         WHEN category = 'pricing' AND moved AND pa[1] > pb[1] THEN n || ' increased pricing' WHEN category = 'pricing' AND moved THEN n || ' reduced pricing' WHEN category = 'pricing' AND free THEN n || ' changed its free-tier positioning'
         WHEN category = 'pricing' THEN n || ' updated pricing' WHEN category = 'hiring' AND ml > 0 THEN n || ' opened ' || ml || ' AI/ML role' || CASE WHEN ml = 1 THEN '' ELSE 's' END
@@ -739,8 +765,8 @@ def narration(spark, sf_dir):
         WHEN category = 'integrations' AND np > 0 THEN n || ' added ' || np || ' new integration' || CASE WHEN np = 1 THEN '' ELSE 's' END WHEN category = 'integrations' THEN n || ' updated its integrations'
         WHEN category = 'product' THEN n || ' made a product-level change' ELSE n || ' rewrote key positioning copy' END AS title FROM c WHERE category <> 'other'"""
 )
-def narration_title(spark, sf_dir):
-    rows = classify.classify(change_rows(spark, sf_dir)).filter(F.col("category") != "other")
+def narration_title(rows):
+    rows = classify.classify(rows).filter(F.col("category") != "other")
     return rows.select("doc_id", "seq", narrate.title(F.concat(F.lit("C"), F.col("doc_id").cast("string"))).alias("title"))
 
 
@@ -971,5 +997,5 @@ def top_changes_per_page(spark, sf_dir):
 
 @query()
 def category_counts(spark, sf_dir):
-    rows = classify.classify_survivors(noise.filter_noise(change_rows(spark, sf_dir)))
+    rows = classify.classify_survivors(noise.filter_noise(change_rows(spark, sf_dir, real=True)))
     return evaluate.category_counts(rows, ["doc_id"]).select("doc_id", F.to_json("categories").alias("categories"))

@@ -1,6 +1,11 @@
 """Queries over whole, unaltered documents, which have no SQL, against plain Python."""
 
+import hashlib
+import json
 import re
+from difflib import SequenceMatcher
+
+import pytest
 
 import __spark_entry__ as entry
 from changelens.functions import patterns as P
@@ -34,3 +39,94 @@ def test_redaction_of_the_documents_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = {r.doc_id: r.out for r in entry.queries()["redact_documents"](spark, SF).collect()}
     assert got == {r.doc_id: redacted(r.text + queries._SECRET_TAILS[r.doc_id % len(queries._SECRET_TAILS)]) for r in docs}
+
+
+LINES = (
+    ("Preis €49 – jetzt\nÜbersicht £1,499 per user\n“Zitat” – l’été", "b"), ("Preis €59 — jetzt\nÜbersicht £1,499 per user\n\"Zitat\" - l'été\n¥300 façade", "b"), ("nothing\nhere\nbut ₹999 a\u200bmonth and 5 projects\nnaïve Slack café", "b"),
+    ("ein €5 Lauf\n• Größe ist größer\nplain line", "a"), ("ein €5 Lauf\n• GRÖSSE ist grösser\nplain line", "a"), ("été 12 users – $7\nß and ſ\nMünchen 10 GB", "a"),
+)
+
+
+def canonical(value):
+    value = re.sub(r"\s+", " ", re.sub("[\u200b-\u200f\u202a-\u202e\ufeff]", "", value)).strip(" ")
+    for pattern, put in P.DYNAMIC_TOKENS:
+        value = re.sub(pattern, put, value, flags=re.I)
+    folded = value.lower().replace("ß", "ss").replace("ς", "σ").translate(str.maketrans("’‘“”–—", "''\"\"--"))
+    return re.sub(r"\s+", " ", folded).strip(" .,;:!•|-")
+
+
+def changed():
+    """{(doc_id, seq): (before, after, location)} of LINES, by plain loops."""
+    out, last = {}, {}
+    for i, (value, source) in enumerate(LINES):
+        lines, old = value.split("\n"), last.get(source, [])
+        last[source] = lines
+        for k, line in enumerate(lines):
+            h = hashlib.md5(f"{i}:{k}".encode()).hexdigest()
+            part = lambda a, n: int(h[a - 1 : a - 1 + n], 16)  # noqa: B023, E731
+            planted = lambda x, a: f"{x} {queries.PHRASES[part(a, 4) % len(queries.PHRASES)]}".strip(" ")  # noqa: B023, E731
+            then = line if part(9, 1) < 8 else old[k] if k < len(old) else ""
+            out[i, k] = planted(then, 1), planted(line, 5), queries.LOCATIONS[part(10, 2) % len(queries.LOCATIONS)]
+    return out
+
+
+def price_list(value):
+    return [float(re.search(P.AMOUNT, m[0])[0].replace(",", "")) for m in re.finditer(P.PRICE, value, re.I)]
+
+
+def pricing_score(before, after, location):
+    has = lambda pattern, x=before + " " + after: bool(re.search(pattern, x, re.I))
+    b, a = price_list(before), price_list(after)
+    step = 0.45 if a and b and abs(a[0] - b[0]) > 1e-9 else 0.2 if b and not a else 0.25 if a and not b else 0
+    free = has(P.FREE_WORD, before) != has(P.FREE_WORD, after) and bool(a or b)
+    return min(1.0, 0.35 * bool(a or b) + step + 0.12 * has(P.BILLING_PERIOD) + 0.1 * has(P.PLAN_NAME) + 0.3 * free + 0.15 * (location == "pricing"))
+
+
+def size(before, after):
+    b, a = canonical(before), canonical(after)
+    if a == b:
+        return 0.0
+    return 1 - SequenceMatcher(None, b, a).ratio() if a and b else min(1.0, 0.35 + len(a + b) / 600)
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    return written(spark, tmp_path_factory.mktemp("lines"), *((i, t, s) for i, (t, s) in enumerate(LINES)))
+
+
+def result(spark, name, folder):
+    return {(r.doc_id, r.seq): r for r in entry.queries()[name](spark, folder).collect()}
+
+
+def test_real_lines_reach_the_text_rules(spark, lines):
+    rows = changed()
+    assert any(not b.isascii() for b, _, _ in rows.values())
+    assert {k: r.out for k, r in result(spark, "real_canonicalise", lines).items()} == {k: canonical(a) for k, (_, a, _) in rows.items()}
+    tokens = lambda x: "|".join(sorted({re.sub(r"[\s,]", "", m[0]).lower() for m in re.finditer(P.PRICE_TOKEN, x, re.I)}))
+    assert {k: r.prices for k, r in result(spark, "real_price_tokens", lines).items()} == {k: tokens(a) for k, (_, a, _) in rows.items()}
+    assert {k: r.prices for k, r in result(spark, "real_price_amounts", lines).items()} == {k: "|".join(f"{x:.2f}" for x in price_list(a)) for k, (_, a, _) in rows.items()}
+    limits = lambda x: "|".join(sorted({f"{m[2].lower()}={m[1].lower()}" for m in re.finditer(P.PLAN_LIMIT, x, re.I)}))
+    assert {k: r.limits for k, r in result(spark, "real_plan_limits", lines).items()} == {k: limits(a) for k, (_, a, _) in rows.items()}
+    partners = lambda x: {m[0].lower() for m in re.finditer(P.PARTNER, x, re.I)}
+    assert {k: r.partners for k, r in result(spark, "real_partners_new", lines).items()} == {k: "|".join(sorted(partners(a) - partners(b))) for k, (b, a, _) in rows.items()}
+
+
+def test_real_lines_reach_noise_and_classes(spark, lines):
+    rows = changed()
+    same = {k for k, (b, a, _) in rows.items() if canonical(b) == canonical(a)}
+    assert {k for k, r in result(spark, "real_noise_reason", lines).items() if (r.noise_reason or "").startswith("canonically identical")} == same
+    got = result(spark, "real_detector_scores", lines)
+    assert {k: round(r.pricing, 6) for k, r in got.items()} == {k: round(pricing_score(*x), 6) for k, x in rows.items()}
+    segments = {k: json.loads(r.segments) for k, r in result(spark, "word_diff", lines).items()}
+    assert {k: ("".join(x["before"] for x in s), "".join(x["after"] for x in s)) for k, s in segments.items()} == {k: (b, a) for k, (b, a, _) in rows.items()}
+
+
+def test_magnitude_is_of_the_texts(spark, lines):
+    got = {k: r.magnitude for k, r in result(spark, "real_change_magnitude", lines).items()}
+    assert got.keys() == changed().keys() and all(got[k] == pytest.approx(size(b, a), abs=6e-5) for k, (b, a, _) in changed().items())
+
+
+def test_every_query_of_ascii_lines_has_one_of_real_lines():
+    names = entry.queries().keys()
+    altered = {k for k, sql in entry.oracle_sql().items() if queries.CHANGE_ROWS in sql}
+    assert len(altered) == 16 and {f"real_{k}" for k in altered} <= names and not any(k.startswith("real_") for k in entry.oracle_sql())
