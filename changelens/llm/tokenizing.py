@@ -26,15 +26,18 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in
-    order; each distinct pre-token is encoded once and remembered.
+    order; each distinct pre-token is encoded once and remembered. Added tokens (<|endoftext|>)
+    are read as such, by the library from whole texts, unless `literal` asks for their characters.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, literal: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        #: A text that holds one of these goes to the tokenizer whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
@@ -53,7 +56,7 @@ class Encoder:
             self.memo.update(zip(group, [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t)]
+        whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or any(x in t for x in self.added)]
         pieces = [_PIECE.findall(t) for t in texts]
         for i in whole:
             pieces[i] = []
@@ -72,9 +75,9 @@ class Encoder:
 
 
 def encoder(file: str) -> Encoder:
-    """One encoder a file and worker process, kept between tasks."""
+    """One encoder a file and worker process, kept between tasks; its ids are those of the library's own call."""
     if file not in _encoders:
-        _encoders[file] = Encoder(file)
+        _encoders[file] = Encoder(file, literal=False)
     return _encoders[file]
 
 
