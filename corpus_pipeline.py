@@ -24,10 +24,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    """One row of each group of near-duplicates: the one with the smallest doc_id; a row without one stays only where all lack it."""
+    keyed = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row"))
+    found = simhash.near_duplicates(keyed.select(key.alias("doc_id"), "text"))
+    gone = found.filter(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
+    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
