@@ -1,4 +1,4 @@
-"""Row-wise Python steps over Arrow batches: one helper for all operators that need one."""
+"""Row-wise Python steps over Arrow batches, and dealing small tables to all cores before costly steps."""
 
 from __future__ import annotations
 
@@ -30,6 +30,15 @@ def ship(spark: SparkSession) -> None:
     sc._changelens_shipped = True
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A freshly read table whose files give work to less than half of the cores, dealt to all of them; any larger table as it is.
+
+    For small tables ahead of steps that cost far more than a shuffle. Planning a scan starts no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
+
+
 def with_python(df: DataFrame, inputs: list[str], output: StructField, compute: Callable[..., object]) -> DataFrame:
     """df with a column computed row by row from the Python values of `inputs`; other columns pass through as Arrow."""
     ship(df.sparkSession)

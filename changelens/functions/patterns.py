@@ -1,6 +1,7 @@
 """The patterns, phrases and labels that decide a change's noise reason and category.
 
-All patterns are read without regard to case, by Java's and Python's regular expressions alike.
+All patterns are read without regard to case and with Unicode letters, digits, white space and
+word borders, by Java's regular expressions (whatever the release's default is) as by Python's.
 """
 
 from __future__ import annotations
@@ -84,6 +85,28 @@ POSITIONING = (
     r"\b(?:the (?:leading|best|#1|number one)|built for|designed for|trusted by|for (?:enterprise|teams|developers|startups)|platform for|all-in-one|end-to-end|mission|vision)\b"
 )
 
+#: Words one of which stands, as a whole, in every match of a pattern: a text without any of them is not searched.
+NEEDS = {
+    "LAUNCH_WORDS": "introducing announcing available feature launch launched launching supports availability beta access excited".split(),
+    "HIRING_WORDS": "hiring role roles opening apply engineer scientist stack".split(),
+    "INTEGRATION_WORDS": "integration integrate integrates connector api sdk webhook marketplace partnership works".split(),
+    "BILLING_PERIOD": "per mo month yr year monthly annually annual billed".split(),
+    "PLAN_NAME": "free starter basic standard pro professional team business growth scale premium enterprise plus ultimate".split(),
+    "FREE_WORD": ["free"],
+    "FEATURE": (
+        "feature introducing announcing support supports available launch launched launching availability ga beta access soon redesigned revamped improved faster powered learning automation copilot assistant"
+    ).split(),
+    "FEATURE_LIST": "unlimited include includes up project projects seat seats user users workspace workspaces integration integrations credit credits request requests gb tb".split(),
+    "HIRING_CONTEXT": "career careers job jobs hiring role roles position positions opening apply join vacancy vacancies time remote".split(),
+    "ML_ROLE": "engineer scientist researcher architect mlops deep llm".split(),
+    "GENERIC_ROLE": "engineer manager designer recruiter analyst executive".split(),
+    "PRODUCT": "product platform suite dashboard workspace studio console editor app".split(),
+    "PRODUCT_LAUNCH": "new launch".split(),
+    "INTEGRATION": "integrate integrates integration integrations connector connect connects works webhook api sdk marketplace plugin extension partnership partner native".split(),
+    "PARTNER": "slack salesforce hubspot zapier snowflake databricks stripe shopify github gitlab jira notion figma aws azure gcp google kubernetes segment okta tableau power zendesk intercom".split(),
+    "POSITIONING": "leading best 1 number built designed trusted enterprise teams developers startups platform one end mission vision".split(),
+}
+
 # Credentials and what replaces them, in order.
 REDACTED = "[redacted]"
 SECRETS = (
@@ -134,4 +157,8 @@ TRUE_WORDS = ("true", "yes", "y", "1", "meaningful")
 
 
 def any_case(pattern: str) -> str:
-    return f"(?i){pattern}"
+    return f"(?iU){pattern}"
+
+
+def exact_case(pattern: str) -> str:
+    return f"(?U){pattern}"

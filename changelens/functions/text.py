@@ -1,7 +1,9 @@
 """Text normalisation as Column functions.
 
-Everything but Unicode compatibility folding stays in the JVM; nfkc() is the one Arrow function,
-for texts that did not come through block extraction (which folds already).
+Everything but Unicode compatibility folding stays in the JVM. folded() is the one Arrow function,
+for texts that did not come through block extraction (which folds already); the functions below
+take folded texts. It stands outside of them because a Python function cannot stand inside a
+lambda over lines or blocks.
 """
 
 from __future__ import annotations
@@ -16,11 +18,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..schema import BOILERPLATE_LOCATIONS, MAX_SNIPPET
-from .patterns import DYNAMIC_TOKENS, SECRETS, any_case
+from .patterns import DYNAMIC_TOKENS, NEEDS, SECRETS, any_case, exact_case
 
 ZERO_WIDTH = "[\u200b-\u200f\u202a-\u202e\ufeff]"
 
 
+def _steady() -> str:
+    """Runs of 16 characters or more, below U+0600, that compatibility composition never changes, as the inside of a character class."""
+    kept = [not unicodedata.combining(c := chr(i)) and unicodedata.category(c)[0] != "M" and unicodedata.normalize("NFKC", c) == c for i in range(0x600)]
+    runs, start = [], 0
+    for i in range(len(kept) + 1):
+        if i == len(kept) or not kept[i]:
+            if i - start >= 16:
+                runs.append(f"\\u{start:04x}-\\u{i - 1:04x}")
+            start = i + 1
+    return "".join(runs)
+
+
+#: Texts of these characters only are folded already: the runs, and common signs between them.
+_FOLDED = f"^[{_steady()}\u00a1-\u00a7\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf\u2010\u2012-\u2016\u2018-\u2023\u20ac]*+\\z"
+#: What every pattern of DYNAMIC_TOKENS needs somewhere: a digit, a query parameter or a run of hexadecimal letters.
+_MAYBE_DYNAMIC = r"(?U)\d|[?&]|[0-9a-fA-F]{6}"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -45,6 +65,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def folded(c: Column | str) -> Column:
+    """A text in Unicode compatibility composition; only texts that may change go to Python."""
+    text = _col(c)
+    return F.coalesce(nfkc(F.when(~text.rlike(_FOLDED), text)), text)
+
+
 def collapse_whitespace(c: Column | str) -> Column:
     """Runs of white space as one space, ends trimmed, zero-width and direction marks dropped; null as empty."""
     plain = F.regexp_replace(F.coalesce(_col(c), F.lit("")), ZERO_WIDTH, "")
@@ -53,7 +79,8 @@ def collapse_whitespace(c: Column | str) -> Column:
 
 def strip_dynamic_tokens(c: Column | str) -> Column:
     """Values that change with every page load, as placeholders."""
-    return reduce(lambda x, token: F.regexp_replace(x, any_case(token[0]), token[1]), DYNAMIC_TOKENS, _col(c))
+    masked = reduce(lambda x, token: F.regexp_replace(x, any_case(token[0]), token[1]), DYNAMIC_TOKENS, _col(c))
+    return F.when(_col(c).rlike(_MAYBE_DYNAMIC), masked).otherwise(_col(c))
 
 
 def casefold(c: Column | str) -> Column:
@@ -62,9 +89,13 @@ def casefold(c: Column | str) -> Column:
 
 
 def canonicalise(c: Column | str) -> Column:
-    """The form in which two texts are compared: collapsed, masked, folded, quotes and dashes straightened, ends stripped."""
-    folded = casefold(strip_dynamic_tokens(collapse_whitespace(c)))
-    straight = F.translate(folded, "’‘“”–—", "''\"\"--")
+    """The form in which two texts are compared: collapsed, masked, lower case, quotes and dashes straightened, ends stripped."""
+    return canonical_form(collapse_whitespace(c))
+
+
+def canonical_form(collapsed: Column | str) -> Column:
+    """canonicalise() of a text whose white space is collapsed already."""
+    straight = F.translate(casefold(strip_dynamic_tokens(collapsed)), "’‘“”–—", "''\"\"--")
     return F.btrim(F.regexp_replace(straight, "[\\s\u00a0]+", " "), F.lit(" .,;:!•|-"))
 
 
@@ -97,7 +128,7 @@ def shorten(c: Column | str, limit: int) -> Column:
 def redact_secrets(c: Column | str, literals: tuple[str, ...] = ()) -> Column:
     """Known secret values, then anything shaped like a credential, replaced."""
     known = reduce(lambda x, s: F.replace(x, F.lit(s), F.lit("[redacted]")), [s for s in literals if len(s) >= 8], _col(c))
-    return reduce(lambda x, p: F.regexp_replace(x, any_case(p[0]) if p[2] else p[0], p[1]), SECRETS, known)
+    return reduce(lambda x, p: F.regexp_replace(x, any_case(p[0]) if p[2] else exact_case(p[0]), p[1]), SECRETS, known)
 
 
 def is_boilerplate(location: Column | str) -> Column:
@@ -108,6 +139,17 @@ def matches(c: Column | str, pattern: str) -> Column:
     return F.coalesce(_col(c), F.lit("")).rlike(any_case(pattern))
 
 
+def words_of(c: Column | str, names: tuple[str, ...]) -> Column:
+    """The words of a folded text that matches of the named patterns need: found in one pass, for all patterns."""
+    needed = sorted({w for n in names for w in NEEDS[n]})
+    return F.array_intersect(F.split(F.lower(_col(c)), "[^a-z0-9]+"), F.array(*map(F.lit, needed)))
+
+
+def if_words(words: Column | str, name: str, found: Column, otherwise: Column) -> Column:
+    """`found`, a search for the named pattern, only where the words that it needs are there."""
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, NEEDS[name]))), found).otherwise(otherwise)
+
+
 def summarise_error(error: BaseException) -> str:
     """Type, HTTP status and cause of an error, never its message."""
     status = next((v for v in (getattr(error, "status_code", None), getattr(getattr(error, "response", None), "status_code", None)) if v), None)

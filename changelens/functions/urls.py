@@ -82,7 +82,7 @@ def unsafe_reason(c: Column | str, ipv6: bool = True) -> Column:
     def judge(url: Column, h: Column) -> Column:
         bad_ip = blocked_ipv4(h)
         if ipv6:
-            bad_ip = bad_ip | _blocked_ipv6(h)
+            bad_ip = bad_ip | F.coalesce(_blocked_ipv6(F.when(F.contains(h, F.lit(":")), h)), F.lit(False))
         suffix = F.lit(False)
         for s in BLOCKED_SUFFIXES:
             suffix = suffix | F.endswith(h, F.lit(s))

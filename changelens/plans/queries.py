@@ -2,10 +2,14 @@
 
 The tables hold no capture pairs, so three stand-ins are used, the same in both engines:
 * change rows: each line of a document against the same line of the document before it from the
-  same source, with phrases planted by a hash so that every rule and detector has work;
+  same source, with phrases planted by a hash so that every rule and detector has work, and a
+  magnitude from that hash (change_magnitude computes the real one);
 * a change log: `events` as changes, `customer` as competitors, `orders` as narrated records;
 * captures: `events` by user, with the event type as content hash.
 Patterns come from functions.patterns on both sides; everything around them is written twice.
+DuckDB knows ASCII word borders only: its patterns search a copy of the text in which letters and
+digits beyond ASCII are underscores. It has no compatibility composition, which changes nothing in
+texts that are composed already, as those of the tables are.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from ..arrow import with_python
+from ..arrow import spread, with_python
 from ..functions import patterns as P
 from ..functions import payloads, text, urls
 from ..operators import classify, diff, html, narrate, noise, relevance, snapshots
@@ -74,6 +78,11 @@ def sql_canon(x: str) -> str:
     return f"trim(regexp_replace({straight}, '[\\s\\x{{a0}}]+', ' ', 'g'), ' .,;:!•|-')"
 
 
+def sql_words(x: str) -> str:
+    """A text in which RE2 finds the borders of words as Java does."""
+    return f"regexp_replace({x}, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC]', '_', 'g')"
+
+
 def sql_has(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {q('(?i)' + pattern)})"
 
@@ -103,15 +112,15 @@ def _hex(expr, a: int, n: int):
     return F.conv(F.substring(F.md5(expr), a, n), 16, 10).cast("int")
 
 
-def change_rows(spark: SparkSession, sf_dir: str, real: bool = False) -> DataFrame:
-    """(doc_id, seq, before, after, location, change_type, magnitude), of the real lines or of ASCII ones."""
-    # The engines disagree on word borders beside accents, so what is compared with SQL is made ASCII.
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text" if real else F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
+def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, seq, before, after, location, change_type, magnitude)."""
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("text", text.folded("text"))
     lines = lambda df, key: df.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line"))
-    before = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("before_id"))
+    before = _previous(spark, sf_dir)
     now = lines(docs, "doc_id").join(before, "doc_id")
     then = lines(docs, "doc_id").select(F.col("doc_id").alias("before_id"), "seq", F.col("line").alias("old"))
-    joined = now.join(then, ["before_id", "seq"], "left")
+    # Lines meet by shuffle: a broadcast would leave the rules with as many tasks as the scan.
+    joined = now.join(then.hint("merge"), ["before_id", "seq"], "left")
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seq").cast("string"))
     phrases = F.array(*map(F.lit, PHRASES))
     planted = lambda line, a: F.trim(F.concat(F.coalesce(line, F.lit("")), F.lit(" "), F.get(phrases, _hex(key, a, 4) % len(PHRASES))))
@@ -123,19 +132,26 @@ def change_rows(spark: SparkSession, sf_dir: str, real: bool = False) -> DataFra
     )
 
 
+def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, before_id): the document before in the same source. Ids only, as a source may hold a third of all texts."""
+    own = Window.partitionBy("source").orderBy("doc_id")
+    return _read(spark, sf_dir, "documents").select("doc_id", F.lag("doc_id").over(own).alias("before_id"))
+
+
 def _sql_hex(a: int, n: int) -> str:
     return f"CAST('0x' || substr(md5(k), {a}, {n}) AS INTEGER)"
 
 
 CHANGE_ROWS = f"""
-    doc AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g'), chr(10)) AS ls, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before_id FROM documents),
+    doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before_id FROM documents),
     ln AS (SELECT doc_id, before_id, x - 1 AS seq, ls[x] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS x FROM doc)),
     jn AS (SELECT a.doc_id, a.seq, a.line, b.line AS old, a.doc_id || ':' || a.seq AS k FROM ln a LEFT JOIN ln b ON a.before_id = b.doc_id AND a.seq = b.seq),
-    chg AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq,
+    cht AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq,
         trim(coalesce(CASE WHEN {_sql_hex(9, 1)} < 8 THEN line ELSE old END, '') || ' ' || {_list(PHRASES)}[1 + {_sql_hex(1, 4)} % {len(PHRASES)}]) AS before,
         trim(line || ' ' || {_list(PHRASES)}[1 + {_sql_hex(5, 4)} % {len(PHRASES)}]) AS after,
         {_list(LOCATIONS)}[1 + {_sql_hex(10, 2)} % {len(LOCATIONS)}] AS location, {_list(TYPES)}[1 + {_sql_hex(12, 2)} % {len(TYPES)}] AS change_type,
-        CAST({_sql_hex(14, 2)} % 100 AS DOUBLE) / 100.0 AS magnitude FROM jn)"""
+        CAST({_sql_hex(14, 2)} % 100 AS DOUBLE) / 100.0 AS magnitude FROM jn),
+    chg AS (SELECT *, {sql_words('before')} AS wob, {sql_words('after')} AS woa, {sql_words('before')} || ' ' || {sql_words('after')} AS wox FROM cht)"""
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,18 +213,15 @@ def query(sql: str | None = None):
     return put
 
 
-def change_query(sql: str):
-    """Register a query over change rows twice: of ASCII lines, with its SQL, and as real_<name> of the lines as they are, without."""
+def change_query(sql: str | None):
+    """Register a query over change rows, with its SQL if there is one."""
 
     def put(f):
-        for name, real in ((f.__name__, False), (f"real_{f.__name__}", True)):
-
-            def run(spark, sf_dir, real=real):
-                return f(change_rows(spark, sf_dir, real))
+        def run(spark, sf_dir):
+            return f(change_rows(spark, sf_dir))
 
-            run.__name__, run.__doc__ = name, f.__doc__
-            query(None if real else sql)(run)
-        return QUERIES[f.__name__]
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        return query(sql)(run)
 
     return put
 
@@ -217,7 +230,9 @@ def change_query(sql: str):
 
 
 def _docs(spark, sf_dir, **columns) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in columns.items()))
+    """Columns over `text`, the folded text of each document."""
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.withColumn("text", text.folded("text")).select("doc_id", *(c.alias(k) for k, c in columns.items()))
 
 
 @query(f"SELECT doc_id, {sql_collapse('text')} AS out FROM documents")
@@ -268,30 +283,29 @@ def _secret_tail():
     return F.get(F.array(*map(F.lit, _SECRET_TAILS)), (F.col("doc_id") % len(_SECRET_TAILS)).cast("int"))
 
 
-@query("SELECT doc_id, " + _sql_redact(f"left(text, 80) || {_list(_SECRET_TAILS)}[1 + doc_id % {len(_SECRET_TAILS)}]") + " AS out FROM documents")
+@query("SELECT doc_id, " + _sql_redact(f"text || coalesce({_list(_SECRET_TAILS)}[1 + doc_id % {len(_SECRET_TAILS)}], '')") + " AS out FROM documents")
 def redact(spark, sf_dir):
-    """The first 80 characters only, as in the SQL; redact_documents takes whole texts."""
-    return _docs(spark, sf_dir, out=text.redact_secrets(F.concat(F.left("text", F.lit(80)), _secret_tail())))
+    """Whole texts as they are, each with the planted tail; a row without a usable doc_id has no tail."""
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text.redact_secrets(F.concat("text", F.coalesce(_secret_tail(), F.lit("")))).alias("out"))
 
 
-@query()
-def redact_documents(spark, sf_dir):
-    """Whole texts, each with the planted tail; a row without a usable doc_id has no tail."""
-    return _docs(spark, sf_dir, out=text.redact_secrets(F.concat("text", F.coalesce(_secret_tail(), F.lit("")))))
+# ---------------------------------------------------------------- pages and URLs
 
 
-# ---------------------------------------------------------------- pages and URLs
+def _pages(spark, sf_dir) -> DataFrame:
+    return spread(_read(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 @query()
 def page_titles(spark, sf_dir):
-    pages = html.with_page(_read(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = html.with_page(_pages(spark, sf_dir))
     return pages.select("page_id", "page.title")
 
 
 @query()
 def extract_blocks(spark, sf_dir):
-    blocks = html.with_blocks(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.inline("blocks"))
+    blocks = html.with_blocks(_pages(spark, sf_dir)).select("page_id", F.inline("blocks"))
     return blocks.select("page_id", "pos", "text", "location", "tag", "depth")
 
 
@@ -305,7 +319,7 @@ def page_links(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"<a\s")).alias("links"))
 
 
-_URL_SHAPES = ("{u}", " {b}/pricing#top ", "{u}", "http://127.0.0.1/{i}", "http://10.1.2.3/jobs/{i}", "https://user:pw@{h}/x", "ftp://{h}/x", "http://printer.local/{i}", "http://169.254.169.254/latest", "https://{h}:8443/Blog/{i}", "http://93.184.216.34/product", "")
+_URL_SHAPES = ("{u}", " {b}/pricing#top ", "{u}", "http://127.0.0.1/{i}", "http://10.1.2.3/jobs/{i}", "https://user:pw@{h}/x", "ftp://{h}/x", "http://printer.local/{i}", "http://169.254.169.254/latest", "https://{h}:8443/Blog/{i}", "http://93.184.216.34/product", "", "http://[::1]/{i}", "http://[fe80::1%25eth0]:8080/", "https://[fd12:3456::7]:8443/plans", "http://[2001:db8::5]/", "https://[2606:4700:4700::1111]/news/{i}", "http://[::ffff:10.0.0.1]/")
 
 
 def _urls(spark, sf_dir) -> DataFrame:
@@ -340,13 +354,13 @@ def url_normalise(spark, sf_dir):
 
 @query(
     _SQL_URLS + r""", x AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sc, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS nl FROM n),
-    y AS (SELECT *, lower(regexp_replace(regexp_replace(nl, '^.*@', ''), ':\d*$', '')) AS h FROM x)
+    y AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(nl, '^.*@', ''), ':\d*$', ''), '^\[|\]$', '', 'g')) AS h FROM x)
     SELECT page_id, CASE WHEN url IS NULL THEN 'empty url' WHEN sc NOT IN ('http', 'https') THEN 'unsupported scheme' WHEN contains(nl, '@') THEN 'embedded credentials' WHEN h = '' THEN 'no hostname'
         WHEN h IN ('localhost', 'localhost.localdomain', 'ip6-localhost', 'ip6-loopback', 'metadata.google.internal') OR regexp_matches(h, '\.(localhost|local|internal|localdomain)$') THEN 'private hostname'
-        WHEN regexp_matches(h, '^(0|10|127)\.\d+\.\d+\.\d+$|^169\.254\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$') THEN 'private or reserved address' END AS reason FROM y"""
+        WHEN regexp_matches(h, '^(0|10|127)\.\d+\.\d+\.\d+$|^169\.254\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$|^(::1?|::ffff:.*|2001:db8:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$') THEN 'private or reserved address' END AS reason FROM y"""
 )
 def url_safe(spark, sf_dir):
-    return _urls(spark, sf_dir).select("page_id", urls.unsafe_reason("raw", ipv6=False).alias("reason"))
+    return _urls(spark, sf_dir).select("page_id", urls.unsafe_reason("raw").alias("reason"))
 
 
 @query(_SQL_URLS + r" SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS origin FROM n")
@@ -427,16 +441,18 @@ def archive_dates(spark, sf_dir):
 )
 def line_changes(spark, sf_dir):
     """Lines added (net > 0) and removed (net < 0) between consecutive documents of a source, as multisets."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    own = docs.withColumn("old", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))).filter(F.col("old").isNotNull())
-    side = lambda c, x: own.select("doc_id", F.explode(F.split(c, "\n")).alias("line"), F.lit(x).cast("long").alias("x"))
-    return side("text", 1).unionByName(side("old", -1)).groupBy("doc_id", "line").agg(F.sum("x").alias("net")).filter("net <> 0")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").filter(F.col("text").isNotNull())
+    pairs = _previous(spark, sf_dir).filter(F.col("before_id").isNotNull()).join(docs.select(F.col("doc_id").alias("before_id")), "before_id", "left_semi")
+    lines = lambda df, x: df.select("doc_id", F.explode(F.split("text", "\n")).alias("line"), F.lit(x).cast("long").alias("x"))
+    old = docs.withColumnRenamed("doc_id", "before_id").join(pairs, "before_id")
+    return lines(docs.join(pairs, "doc_id"), 1).unionByName(lines(old, -1)).groupBy("doc_id", "line").agg(F.sum("x").alias("net")).filter("net <> 0")
 
 
 def _document_pairs(spark, sf_dir) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    own = docs.withColumn("before_text", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")))
-    return own.filter(F.col("before_text").isNotNull()).select(F.col("doc_id").alias("pair_id"), "before_text", F.col("text").alias("after_text"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.select(F.col("doc_id").alias("before_id"), F.col("text").alias("before_text")).filter(F.col("before_text").isNotNull())
+    # Texts meet by shuffle, so that the alignment has more tasks than the scan.
+    return docs.join(_previous(spark, sf_dir), "doc_id").join(old.hint("merge"), "before_id").select(F.col("doc_id").alias("pair_id"), "before_text", F.col("text").alias("after_text"))
 
 
 @query()
@@ -444,9 +460,9 @@ def diff_changes(spark, sf_dir):
     return diff.diff_text(_document_pairs(spark, sf_dir), ["pair_id"])
 
 
-@query()
-def word_diff(spark, sf_dir):
-    return diff.with_word_diff(change_rows(spark, sf_dir, real=True)).select("doc_id", "seq", F.to_json("segments").alias("segments"))
+@change_query(None)
+def word_diff(rows):
+    return diff.with_word_diff(rows).select("doc_id", "seq", F.to_json("segments").alias("segments"))
 
 
 @change_query(
@@ -474,17 +490,16 @@ def change_types(rows):
 _SQL_MAGNITUDE = "CASE WHEN cb = ca THEN 0.0 WHEN cb = '' OR ca = '' THEN round(least(1.0, 0.35 + length(cb || ca) / 600.0::DOUBLE), 4) ELSE round(1.0 - magnitude, 4) END"
 
 
-@query(f"WITH {CHANGE_ROWS}, c AS (SELECT *, {sql_canon('before')} AS cb, {sql_canon('after')} AS ca FROM chg) SELECT doc_id, seq, CAST({_SQL_MAGNITUDE} AS DOUBLE) AS magnitude FROM c")
-def change_magnitude(spark, sf_dir):
-    """With the planted figure for the similarity, as in the SQL; real_change_magnitude computes it."""
-    size = diff.magnitude(text.canonicalise("before"), text.canonicalise("after"), F.col("magnitude"))
-    return change_rows(spark, sf_dir).select("doc_id", "seq", size.alias("magnitude"))
+@change_query(f"WITH {CHANGE_ROWS}, c AS (SELECT *, {sql_canon('before')} AS cb, {sql_canon('after')} AS ca FROM chg) SELECT doc_id, seq, CAST({_SQL_MAGNITUDE} AS DOUBLE) AS magnitude FROM c")
+def magnitude_branches(rows):
+    """How a similarity becomes a magnitude, with the planted figure for the similarity, as SQL cannot compute it."""
+    return rows.select("doc_id", "seq", diff.magnitude(text.canonicalise("before"), text.canonicalise("after"), F.col("magnitude")).alias("magnitude"))
 
 
-@query()
-def real_change_magnitude(spark, sf_dir):
-    """Size of each change of the real lines by the similarity of its canonical texts."""
-    keys = change_rows(spark, sf_dir, real=True).select("doc_id", "seq", text.canonicalise("before").alias("old"), text.canonicalise("after").alias("new"))
+@change_query(None)
+def change_magnitude(rows):
+    """Size of each change by the similarity of its canonical texts."""
+    keys = rows.select("doc_id", "seq", text.canonicalise("before").alias("old"), text.canonicalise("after").alias("new"))
     rated = with_python(keys, ["old", "new"], StructField("ratio", DoubleType()), diff.similarity)
     return rated.select("doc_id", "seq", diff.magnitude(F.col("old"), F.col("new"), F.col("ratio")).alias("magnitude"))
 
@@ -496,7 +511,7 @@ def evaluate_pairs(spark, sf_dir):
 
 
 def _page_changes(spark, sf_dir) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("pair_id"), F.col("html").alias("before_html"))
+    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("pair_id"), F.col("html").alias("before_html"))
     new = F.regexp_replace(F.regexp_replace("before_html", "<h1>[^<]*", "<h1>Introducing AI-powered analytics, now available"), "</article>", '<p class="price">Pro plan now \\$79 per user</p></article>')
     return evaluate.evaluate_pairs(pages.withColumn("after_html", F.regexp_replace(new, "&copy;", "&copy; 2026")))
 
@@ -510,9 +525,9 @@ def page_funnels(spark, sf_dir):
 
 _SQL_FACTS = f"""
     f0 AS (SELECT *, {sql_canon('before')} AS cb, {sql_canon('after')} AS ca, before || ' ' || after AS blob, {sql_collapse('before')} AS wb, {sql_collapse('after')} AS wa FROM chg),
-    f1 AS (SELECT *, {sql_has('blob', P.PRICE_TOKEN)} AS price FROM f0),
-    facts AS (SELECT *, price OR {sql_has('blob', P.LAUNCH_WORDS)} OR {sql_has('blob', P.HIRING_WORDS)} OR (cb <> ca AND ({sql_has('blob', P.INTEGRATION_WORDS)}
-        OR ({sql_has('before', P.NOISE_PLAN_LIMIT)} AND {sql_has('after', P.NOISE_PLAN_LIMIT)}))) AS strong, {sql_fold('blob')} AS low FROM f1)"""
+    f1 AS (SELECT *, {sql_has('wox', P.PRICE_TOKEN)} AS price FROM f0),
+    facts AS (SELECT *, price OR {sql_has('wox', P.LAUNCH_WORDS)} OR {sql_has('wox', P.HIRING_WORDS)} OR (cb <> ca AND ({sql_has('wox', P.INTEGRATION_WORDS)}
+        OR ({sql_has('wob', P.NOISE_PLAN_LIMIT)} AND {sql_has('woa', P.NOISE_PLAN_LIMIT)}))) AS strong, {sql_fold('blob')} AS low FROM f1)"""
 
 
 def _sql_prices(x: str) -> str:
@@ -531,12 +546,12 @@ _SQL_REASON = f"""CASE
     WHEN cb = ca THEN 'canonically identical (whitespace/dynamic tokens only)'
     WHEN wb = '' AND wa = '' THEN 'empty change'
     WHEN greatest(length(wb), length(wa)) < 12 AND NOT strong THEN 'content too short to be meaningful (<12 chars)'
-    WHEN {sql_has('before', P.COUNTER_PHRASE)} AND {sql_has('after', P.COUNTER_PHRASE)} AND {_sql_counted('before')} = {_sql_counted('after')} THEN 'live counter / social-proof number churn'
+    WHEN {sql_has('wob', P.COUNTER_PHRASE)} AND {sql_has('woa', P.COUNTER_PHRASE)} AND {_sql_counted('before')} = {_sql_counted('after')} THEN 'live counter / social-proof number churn'
     WHEN wb <> '' AND wa <> '' AND regexp_matches(wb, {q(P.NUMBER_ONLY)}) AND regexp_matches(wa, {q(P.NUMBER_ONLY)}) AND NOT price THEN 'numeric-only churn with no surrounding context'
     WHEN location IN ('navigation', 'footer', 'cookie_banner', 'advertisement', 'sidebar') AND NOT strong THEN 'boilerplate page region (' || location || ')'
     WHEN NOT strong AND {_sql_any('low', P.CHROME_PHRASES)} THEN 'generic site chrome / legal copy'
     WHEN NOT strong AND ({_sql_any('low', P.SOCIAL_VERBS)} OR ({_sql_any('low', P.SOCIAL_PLATFORMS)} AND length(low) < 60)) THEN 'social/sharing widget'
-    WHEN price AND {_sql_prices('before')} = {_sql_prices('after')} AND magnitude < 0.45 THEN 'pricing block reworded but amounts unchanged'
+    WHEN price AND {_sql_prices('wob')} = {_sql_prices('woa')} AND magnitude < 0.45 THEN 'pricing block reworded but amounts unchanged'
     WHEN magnitude < 0.12 AND NOT strong THEN 'magnitude below threshold (' || format('{{:.2f}}', magnitude) || ' < 0.12)' END"""
 NOISE = f"{CHANGE_ROWS}, {_SQL_FACTS}, nz AS (SELECT *, {_SQL_REASON} AS noise_reason FROM facts)"
 
@@ -557,7 +572,7 @@ def noise_funnel(rows):
     return rows.withColumn("noise_reduction", analytics.noise_reduction(F.col("noise"), F.col("raw")))
 
 
-@change_query(f"WITH {CHANGE_ROWS} SELECT doc_id, seq, array_to_string({_sql_prices('after')}, '|') AS prices FROM chg")
+@change_query(f"WITH {CHANGE_ROWS} SELECT doc_id, seq, array_to_string({_sql_prices('woa')}, '|') AS prices FROM chg")
 def price_tokens(rows):
     return rows.select("doc_id", "seq", F.array_join(noise.price_tokens(F.col("after")), "|").alias("prices"))
 
@@ -582,11 +597,11 @@ def _b(condition: str, value: float) -> str:
     return f"CASE WHEN {condition} THEN {value!r}::DOUBLE ELSE 0.0::DOUBLE END"
 
 
-_C = lambda pattern, x="blob": sql_has(x, pattern)
+_C = lambda pattern, x="wox": sql_has(x, pattern)
 _SQL_CLASS = f"""
-    c0 AS (SELECT *, before || ' ' || after AS blob, {_sql_amounts('before')} AS pb, {_sql_amounts('after')} AS pa, {sql_count('after', P.ML_ROLE)} AS ml, {sql_count('after', P.GENERIC_ROLE)} AS gr, {sql_count('after', P.FEATURE)} AS la,
-        {_sql_limits('before')} AS lb, {_sql_limits('after')} AS lim, {_sql_partners('after')} AS na, {_sql_partners('before')} AS nb FROM chg),
-    c1 AS (SELECT *, len(pb) > 0 AS hb, len(pa) > 0 AS ha, len(pb) > 0 AND len(pa) > 0 AND abs(pb[1] - pa[1]) > 1e-9 AS moved, ({_C(P.FREE_WORD, 'before')} <> {_C(P.FREE_WORD, 'after')}) AND (len(pb) > 0 OR len(pa) > 0) AS free,
+    c0 AS (SELECT *, {_sql_amounts('wob')} AS pb, {_sql_amounts('woa')} AS pa, {sql_count('woa', P.ML_ROLE)} AS ml, {sql_count('woa', P.GENERIC_ROLE)} AS gr, {sql_count('woa', P.FEATURE)} AS la,
+        {_sql_limits('wob')} AS lb, {_sql_limits('woa')} AS lim, {_sql_partners('woa')} AS na, {_sql_partners('wob')} AS nb FROM chg),
+    c1 AS (SELECT *, len(pb) > 0 AS hb, len(pa) > 0 AS ha, len(pb) > 0 AND len(pa) > 0 AND abs(pb[1] - pa[1]) > 1e-9 AS moved, ({_C(P.FREE_WORD, 'wob')} <> {_C(P.FREE_WORD, 'woa')}) AND (len(pb) > 0 OR len(pa) > 0) AS free,
         {_C(P.HIRING_CONTEXT)} AS hc, len(list_intersect(list_transform(lb, lambda v: string_split(v, '=')[1]), list_transform(lim, lambda v: string_split(v, '=')[1]))) > 0 AND lb <> lim AS lm, {_C(P.AI_MENTION)} AS ai,
         len(list_filter(na, lambda v: NOT list_contains(nb, v))) AS np, {_C(P.POSITIONING)} AS po FROM c0),
     c2 AS (SELECT *,
@@ -706,7 +721,7 @@ def worst_status(spark, sf_dir):
 
 
 @change_query(
-    f"""WITH {CHANGE_ROWS}, g AS (SELECT doc_id, seq, lower(trim(CASE seq % 3 WHEN 0 THEN upper(left(after, 20)) WHEN 1 THEN after || ' and more' ELSE 'something else entirely' END)) AS a, lower(trim(before)) AS b FROM chg)
+    f"""WITH {CHANGE_ROWS}, g AS (SELECT doc_id, seq, {sql_fold("trim(CASE seq % 3 WHEN 0 THEN upper(left(after, 20)) WHEN 1 THEN after || ' and more' ELSE 'something else entirely' END)")} AS a, {sql_fold('trim(before)')} AS b FROM chg)
     SELECT doc_id, seq, a = '' OR contains(b, a) OR (b <> '' AND contains(a, b)) AS grounded FROM g"""
 )
 def grounding_check(rows):
@@ -749,9 +764,9 @@ def payload_fields(spark, sf_dir):
     return rows.select("event_id", F.get(F.map_values("m"), F.lit(0)).alias("first_value"))
 
 
-@query()
-def narration(spark, sf_dir):
-    rows = relevance.score_changes(classify.classify_survivors(noise.filter_noise(change_rows(spark, sf_dir, real=True))))
+@change_query(None)
+def narration(rows):
+    rows = evaluate.judged(rows)
     told = narrate.narrate(narrate.candidates(rows).withColumn("subject", F.concat(F.lit("C"), F.col("doc_id").cast("string"))))
     return told.select("doc_id", "seq", "title", "summary", "business_impact", "recommended_action")
 
@@ -995,7 +1010,7 @@ def top_changes_per_page(spark, sf_dir):
     return evaluate.top_changes(rows, ["competitor_id"]).select("competitor_id", "rank", F.col("before").cast("long").alias("id"))
 
 
-@query()
-def category_counts(spark, sf_dir):
-    rows = classify.classify_survivors(noise.filter_noise(change_rows(spark, sf_dir, real=True)))
+@change_query(None)
+def category_counts(rows):
+    rows = classify.classify_survivors(noise.filter_noise(rows))
     return evaluate.category_counts(rows, ["doc_id"]).select("doc_id", F.to_json("categories").alias("categories"))

@@ -1,5 +1,7 @@
 """Blocks, alignment, noise rules, classes and scores."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,9 +69,27 @@ def test_repeats_fold(spark):
     assert len(got) == 1
 
 
-def test_similarity_bounds_keep_results():
-    a, b = "introducing the pro plan", "introducing a pro plan today"
-    assert diff.similarity(a, b, 0.4) == diff.similarity(a, b) and diff.similarity("abc", "xyz", 0.4) == 0.0
+def plain_pairs(old, new, b0, a0):
+    """Each old block with the best new one that is left, by comparing with all of them."""
+    free, out = list(range(len(new))), []
+    for i, x in enumerate(old):
+        best, score = None, 0.40
+        for j in free:
+            found = diff.similarity(x["key"], new[j]["key"]) + 0.08 * (x["location"] == new[j]["location"]) + 0.04 * (x["tag"] == new[j]["tag"])
+            if found > score:
+                best, score = j, found
+        if best is not None:
+            free.remove(best)
+        out.append((b0 + i, None if best is None else a0 + best))
+    return out + [(None, a0 + j) for j in free]
+
+
+def test_bounds_keep_the_pairs():
+    rng, words = random.Random(1), "alpha beta gamma delta plan price ab ba abc größe été pro".split()
+    some = lambda n: [{"key": " ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 2, 3, 8, 40)))), "location": rng.choice("ab"), "tag": rng.choice("pq")} for _ in range(n)]
+    for _ in range(150):
+        old, new = some(rng.randint(0, 10)), some(rng.randint(0, 10))
+        assert diff._pair(old, new, 3, 5) == plain_pairs(old, new, 3, 5)
 
 
 def test_word_segments(spark):
