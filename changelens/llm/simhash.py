@@ -10,7 +10,8 @@ shuffled, and the fingerprints that meet at one are verified over all 64 bits.
 
 Equal fingerprints are joined before, so a large group of copies emits one ball. Within a variant
 only links that join two still separate sets are given: enough for components, at most one fewer
-than its fingerprints. Components come from star contraction, distributed.
+than its fingerprints. Components come from star contraction, distributed. Fingerprints with many
+documents and components with many fingerprints meet their ids by broadcast, in bounded number.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; fewer than
 four words are one shingle; rows that share a doc_id are each a row of the result; a null doc_id
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import as_bytes, chunks, prepare, staged
-from .components import components
+from .components import components, join_hot
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of each pair of blocks [0, 21), [21, 42), [42, 64).
@@ -96,48 +97,55 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links within the radius among distinct fingerprints, enough to span each component."""
-    label, links = np.arange(len(fps)), []
-    for i in range(len(fps)):
-        apart = np.nonzero(label != label[i])[0]
-        apart = apart[apart > i]
-        near = apart[np.bitwise_count(fps[apart] ^ fps[i]) <= radius] if len(apart) else apart
-        for j in near:
-            if label[j] != label[i]:
-                links.append((i, int(j)))
-                label[label == label[j]] = label[i]
-    return links
+    """Links within the radius among distinct fingerprints, enough to span each component.
+
+    A walk over what is not yet reached: a reached fingerprint is compared with the rest only, and
+    all it finds leave the rest at once.
+    """
+    rest, found = np.arange(len(fps)), []
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[i]) <= radius
+            own = rest[near].tolist()
+            found += [(i, j) for j in own]
+            reached += own
+            rest = rest[~near]
+    return found
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): verified links between distinct fingerprints that span every group of linked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, carried = None, np.zeros(0, np.uint64)
+        last, carried = None, []  # the parts of the last variant's fingerprints
 
         def joined(groups: list[np.ndarray]) -> pa.RecordBatch:
             pairs = [(int(g[i].view(np.int64)), int(g[j].view(np.int64))) for g in groups for i, j in spanning_links(g, radius)]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
+        def whole(parts: list[np.ndarray]) -> list[np.ndarray]:
+            return [np.concatenate(parts)] if sum(map(len, parts)) > 1 else []
+
         for batch in batches:  # sorted by variant: a variant's fingerprints are a run
             key, own = batch.column("variant").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
             if not len(key):
                 continue
             edges = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
             groups: list[np.ndarray] = []
-            if key[0] == last:
-                carried = np.concatenate([carried, own[: edges[1]]])
-                first = 1
-            else:
-                groups, carried, first = [carried], own[: edges[1]], 1
+            if key[0] != last:
+                groups += whole(carried)
+                carried = []
+            carried.append(own[: edges[1]])
             if len(edges) > 2:
-                groups.append(carried)
+                groups += whole(carried)
                 sizes = np.diff(edges)
-                groups += [own[edges[k] : edges[k + 1]] for k in np.nonzero(sizes[first:-1] > 1)[0] + first]
-                carried = own[edges[-2] :]
+                groups += [own[edges[k] : edges[k + 1]] for k in np.nonzero(sizes[1:-1] > 1)[0] + 1]
+                carried = [own[edges[-2] :]]
             last = key[-1]
-            yield joined([g for g in groups if len(g) > 1])
-        yield joined([carried] if len(carried) > 1 else [])
+            yield joined(groups)
+        yield joined(whole(carried))
 
     dealt = variants(fps).repartition("variant").sortWithinPartitions("variant")
     return dealt.mapInArrow(run, "u long, v long").distinct()
@@ -148,9 +156,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -
     if radius != RADIUS:
         raise ValueError("the blocks are laid out for a radius of 4")
     own = staged(fingerprints(docs, text), "simhash-prints")
-    least = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(least.select("fp"), radius))
-    known = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = known.join(first, "root").select("fp", "component_id")
-    return own.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    prints = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    roots = staged(components(links(prints.select("fp"), radius)), "simhash-roots")
+    linked = staged(prints.select("fp", "least").join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root"), "simhash-linked")
+    first = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    joint = join_hot(linked.select("fp", "root"), first, "root", linked.count()).select("fp", "component_id")
+    by_print = staged(prints.join(joint, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "simhash-ids")
+    return join_hot(own, by_print, "fp", own.count()).select("doc_id", "fp", "component_id")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from changelens.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality_fm, quality_rules, simhash, token_files, url_filter
-from changelens.llm.components import components
+from changelens.llm.components import components, join_hot
 from changelens.llm.tokenizing import Encoder, default_file
 
 WHITE = "[ \t\n\x0b\x0c\r]"
@@ -173,7 +173,7 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links_at_every_distance(spark):
+def test_simhash_links_at_every_distance(spark, request):
     rng = np.random.default_rng(11)
     prints = []
     for _ in range(120):
@@ -183,6 +183,8 @@ def test_simhash_links_at_every_distance(spark):
     prints += [cluster ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(300)]
     prints = sorted(set(prints))
     fps = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a variant's fingerprints span several batches
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"))
     roots = {r.node: r.root for r in components(simhash.links(fps)).collect()}
     label = brute_components(prints)
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
@@ -196,6 +198,35 @@ def test_components_of_a_long_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_of_hubs(spark):
+    """Two stars whose hubs hold half of all links each, one through its smallest node, one through its largest."""
+    links = spark.range(1, 1500).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).unionByName(spark.range(5000, 6500).select(F.col("id").alias("u"), F.lit(9999).cast("long").alias("v")))
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {**dict.fromkeys(range(1500), 0), **dict.fromkeys([*range(5000, 6500), 9999], 5000)}
+
+
+def test_hot_keys_join_like_any_other(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 2500, 7).when(F.col("id") < 3990, F.col("id")).cast("long").alias("k"), "id")
+    by_key = rows.groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    got, plain = join_hot(rows, by_key, "k", 4000), rows.join(by_key.drop("n"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 3990
+    assert join_hot(rows.limit(0), by_key.limit(0), "k", 0).count() == 0
+
+
+def test_walk_spans_every_group():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 4))).astype(np.uint64)
+        fps = np.unique([int(rng.choice(base)) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(40)]).astype(np.uint64)
+        label = brute_components(fps.tolist())
+        found = simhash.spanning_links(fps)
+        assert all(int(fps[i] ^ fps[j]).bit_count() <= 4 for i, j in found) and len(found) == len(fps) - len(set(label))
+        near = list(range(len(fps)))
+        for i, j in found:
+            near = [near[i] if x == near[j] else x for x in near]
+        assert len(set(near)) == len(set(label))
+
+
 def test_exact_dedup(docs, empty):
     for digests in (True, False):
         got = exact_dedup.exact_dedup(docs, digests=digests).collect()
