@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, line_dedup, mixing, packing, quality_fm, quality_rules, simhash, token_files, url_filter
-from ._shared import fresh_path, n_words, staged, table
+from ._shared import dealt_table, fresh_path, n_words, staged, table
 
 
 def _in_fold(modulus: int, fold: int) -> Column:
@@ -14,7 +14,7 @@ def _in_fold(modulus: int, fold: int) -> Column:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_repeated_lines(docs, min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -27,12 +27,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.cascade(dealt_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(dealt_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -42,7 +42,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+    return packing.pack(dealt_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
 def url_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +86,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, ~_in_fold(3, 1))
-    rows = docs.select("doc_id", "text", _in_fold(3, 1).alias("held_out"))
+    rows = dealt_table(spark, sf_dir, "documents").select("doc_id", "text", _in_fold(3, 1).alias("held_out"))
     return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality_fm.train(docs, table(spark, sf_dir, "labels"), ~_in_fold(5, 0))
-    rows = docs.select("doc_id", "text", _in_fold(5, 0).alias("held_out"))
+    rows = dealt_table(spark, sf_dir, "documents").select("doc_id", "text", _in_fold(5, 0).alias("held_out"))
     return quality_fm.rate(rows, machine).select("doc_id", "held_out", "score", "predicted")
 
 

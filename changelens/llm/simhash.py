@@ -32,6 +32,8 @@ from ._shared import as_bytes, chunks, prepare, staged
 from .components import components, join_hot
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Fingerprints whose balls one task emits at most, and from how many on another core is worth a task.
+PRINTS_PER_TASK, PRINTS_WORTH_A_TASK = 500_000, 10_000
 #: Bits of each pair of blocks [0, 21), [21, 42), [42, 64).
 BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
 PAIRS = tuple(tuple(b for k, block in enumerate(BLOCKS) if k != left_out for b in block) for left_out in range(3))
@@ -147,7 +149,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield joined(groups)
         yield joined(whole(carried))
 
-    dealt = variants(fps).repartition("variant").sortWithinPartitions("variant")
+    # A fingerprint becomes 131 rows, so the few files of all fingerprints are dealt out before.
+    n, cores = fps.count(), fps.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // PRINTS_PER_TASK), min(cores, n // PRINTS_WORTH_A_TASK))
+    dealt = variants(fps.repartition(parts, "fp")).repartition("variant").sortWithinPartitions("variant")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
