@@ -311,11 +311,12 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert "ids" not in plan.split("ReadSchema")[-1]
     import pyarrow.parquet as pq
 
-    meta = pq.ParquetFile(next((tmp_path / "tokens").glob("*.parquet"))).metadata.row_group(0)
-    by_name = {meta.column(i).path_in_schema: meta.column(i) for i in range(meta.num_columns)}
-    assert any("DELTA_BINARY_PACKED" in c.encodings for n, c in by_name.items() if n == "n_tokens")
-    assert any("RLE_DICTIONARY" in c.encodings for n, c in by_name.items() if n.startswith("ids"))
-    assert all(c.has_offset_index and c.has_column_index for c in by_name.values())
+    # A file of one short document may have nothing to put in a dictionary.
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in (tmp_path / "tokens").glob("*.parquet")]
+    columns = [g.column(i) for g in groups for i in range(g.num_columns)]
+    assert any("DELTA_BINARY_PACKED" in c.encodings for c in columns if c.path_in_schema == "n_tokens")
+    assert any("RLE_DICTIONARY" in c.encodings for c in columns if c.path_in_schema.startswith("ids"))
+    assert all(c.has_offset_index and c.has_column_index for c in columns)
     token_files.write_tokens(empty, str(tmp_path / "none"))
     assert token_files.digests(spark, str(tmp_path / "none")).count() == 0
 
