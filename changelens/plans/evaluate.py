@@ -11,6 +11,7 @@ from ..operators.classify import classify_survivors
 from ..operators.diff import diff_captures, diff_html
 from ..operators.noise import filter_noise
 from ..operators.relevance import score_changes
+from ..operators.snapshots import select_pair, spread
 from ..schema import CATEGORIES, HIGH_IMPACT
 from .analytics import noise_reduction
 
@@ -19,12 +20,19 @@ from .analytics import noise_reduction
 class Suite:
     """What an evaluation covers: captures of `urls` from `start` to `end`, at most `limit` of each."""
 
-    urls: tuple[str, ...] = ()
+    urls: tuple = ()
     start: str = "2023-01-01"
     end: str = "2025-01-01"
     limit: int = 40
 
 
+def suite_pairs(captures: DataFrame, suite: Suite, url: str = "url", at: str = "timestamp", **columns: str) -> DataFrame:
+    """The pair of captures of each URL that a suite compares: of those in its period, spread over it, the first and the last distinct one."""
+    own = captures.filter(F.col(at).between(F.lit(suite.start).cast("timestamp_ntz"), F.lit(suite.end).cast("timestamp_ntz")))
+    own = own.filter(F.col(url).isin(*suite.urls)) if suite.urls else own
+    return select_pair(spread(own, suite.limit, url=url, at=at), url=url, at=at, **columns)
+
+
 def judged(changes: DataFrame, round_between_stages: bool = False) -> DataFrame:
     """Raw changes -> noise reason, class and score."""
     return score_changes(classify_survivors(filter_noise(changes)), round_between_stages)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.urls import origin
+from ..operators.snapshots import collapse_digests
 from ..schema import TABLES, table_schema
 
 MAX_BODY = 5_000_000
@@ -47,17 +48,14 @@ def archive_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_index(rows: DataFrame, limit: int = 40) -> DataFrame:
-    """Index rows (url, timestamp, statuscode, digest, length as text) -> captures with status 200, equal neighbours folded, at most |limit| of a URL (the newest where negative), malformed rows skipped."""
-    from ..operators.snapshots import collapse_digests
-
+    """Index rows (url, timestamp, statuscode, digest as text, an id if they have one) -> captures with status 200, equal neighbours folded, at most |limit| of a URL (the newest where negative), malformed rows skipped."""
     n = max(1, min(200, abs(limit)))
     at = F.try_to_timestamp("timestamp", F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
-    good = rows.withColumns({"at": at, "status_code": F.col("statuscode").try_cast("int"), "id": F.xxhash64("url", "timestamp", "digest")}).filter(F.col("at").isNotNull() & (F.col("status_code") == 200))
-    folded = collapse_digests(good, at="at")
-    from pyspark.sql import Window
-
+    key = F.col("id") if "id" in rows.columns else F.xxhash64("url", "timestamp", "digest")
+    good = rows.withColumns({"at": at, "status_code": F.col("statuscode").try_cast("int"), "id": key}).filter(F.col("at").isNotNull() & (F.col("status_code") == 200))
     order = F.col("at").desc() if limit < 0 else F.col("at").asc()
-    return folded.withColumn("__nth", F.row_number().over(Window.partitionBy("url").orderBy(order, "id"))).filter(F.col("__nth") <= n).drop("__nth").orderBy("url", "at")
+    nth = F.row_number().over(Window.partitionBy("url").orderBy(order, "id"))
+    return collapse_digests(good, at="at").withColumn("__nth", nth).filter(F.col("__nth") <= n).drop("__nth").orderBy("url", "at")
 
 
 def robots_gate(captures: DataFrame, robots: DataFrame) -> DataFrame:
@@ -66,12 +64,19 @@ def robots_gate(captures: DataFrame, robots: DataFrame) -> DataFrame:
     return joined.withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
-def schedule(captures: DataFrame, delay: float = 1.5) -> DataFrame:
-    """captures with start_after: seconds from the first request of the origin, spaced by the longer of delay and crawl_delay."""
-    from pyspark.sql import Window
+def schedule(captures: DataFrame, delay: float = 1.5, key: str = "url") -> DataFrame:
+    """captures with start_after: seconds from the first request of the origin, spaced by the longer of delay and crawl_delay.
 
-    own = Window.partitionBy("origin").orderBy("url")
-    return captures.withColumn("start_after", (F.row_number().over(own) - 1) * F.greatest(F.lit(delay), F.coalesce("crawl_delay", F.lit(0.0))))
+    Requests go out in the order of a hash of their URL, then of key. An origin is numbered in 256
+    parts by that hash, so that one with a third of all requests is spread over many tasks.
+    """
+    hashed = captures.withColumn("__hash", F.md5("url")).withColumn("__part", F.left("__hash", F.lit(2)))
+    sizes = hashed.groupBy("origin", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("origin").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("origin", "__part").orderBy("__hash", key))
+    numbered = hashed.withColumn("__nth", nth).join(sizes.select("origin", "__part", ahead.alias("__ahead")), ["origin", "__part"])
+    start = (F.col("__ahead") + F.col("__nth") - 1) * F.greatest(F.lit(delay), F.coalesce("crawl_delay", F.lit(0.0)))
+    return numbered.withColumn("start_after", start).drop("__hash", "__part", "__nth", "__ahead")
 
 
 def body_name(tracked_url_id: Column, at: Column, digest: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["content_hash", "redact", "url_safe", "canonicalise", "grounding_check", "snapshot_dedupe", "capture_pair", "line_changes", "noise_reason", "classify_changes", "relevance_score", "top_competitors", "competitor_rollup", "due_by_frequency", "category_merge", "score_coercion"]
+NAMES = ["content_hash", "redact", "url_safe", "canonicalise", "grounding_check", "snapshot_dedupe", "capture_pair", "line_changes", "noise_reason", "classify_changes", "relevance_score", "top_competitors", "competitor_rollup", "due_by_frequency", "category_merge", "score_coercion", "archive_index", "archive_index_newest", "evaluation_suite", "decoded_bodies", "request_schedule", "scan_runs", "validated_payloads", "new_competitors", "new_tracked_urls", "merged_competitors"]
 
 
 def _rows(frame):

@@ -1,5 +1,6 @@
 """Snapshots, scans, reports, sources, streams and the entry contract."""
 
+import hashlib
 import importlib
 import sys
 
@@ -47,6 +48,21 @@ def test_scan(spark):
     assert (run.urls_scanned, run.urls_failed, run.status) == (2, 1, "completed") and run.raw_changes == run.noise_changes + run.meaningful_changes == got.changes.count()
 
 
+def test_scan_of_pages(spark):
+    """One in four pages has an unchanged second capture: it gives no change, the others give what evaluation gives for the same pair."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = entry.queries()["scan_changes"](spark, sf).collect()
+    pages = {r.page_id for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert {r.tracked_url_id for r in got} == {p for p in pages if p % 4} and len({r.change_key for r in got}) == len(got)
+    assert {r.snapshot_id for r in got} == {2 * p + 1 for p in pages if p % 4}
+    pairs = {(r.pair_id, r.seq): r for r in entry.queries()["evaluate_pairs"](spark, sf).collect() if r.pair_id % 4}
+    # The evaluation's pair has a new copyright year in the footer besides.
+    shared = [r for r in got if (r.tracked_url_id, r.seq) in pairs and r.after == pairs[r.tracked_url_id, r.seq].after]
+    assert len(shared) > len(got) / 2 and all(r.category == pairs[r.tracked_url_id, r.seq].category for r in shared)
+
+
 def test_report_counts_completed_pages_only(spark):
     pages = spark.createDataFrame([("a.com", "completed", 100, 80, 20, 8, {"pricing": 2, "features": 3}), ("b.com", "completed", 50, 40, 10, 4, {"pricing": 1, "hiring": 2}), ("c.com", "no_snapshots", 0, 0, 0, 0, {})], "url string, status string, raw_changes int, noise_changes int, meaningful_changes int, high_impact_changes int, categories map<string,int>")
     r = evaluate.merge_report(pages).first()
@@ -66,7 +82,11 @@ def test_robots_schedule_and_decoding(spark):
     df = spark.createDataFrame([("https://a.com/1",), ("https://a.com/2",), ("https://b.com/1",)], "url string")
     robots = spark.createDataFrame([("https://a.com", False, 4.0)], "origin string, allowed boolean, crawl_delay double")
     got = {r.url: (r.allowed, r.start_after) for r in sources.schedule(sources.robots_gate(df, robots)).collect()}
-    assert got == {"https://a.com/1": (False, 0.0), "https://a.com/2": (False, 4.0), "https://b.com/1": (True, 0.0)}
+    first, second = sorted(("https://a.com/1", "https://a.com/2"), key=lambda u: hashlib.md5(u.encode()).hexdigest())
+    assert got == {first: (False, 0.0), second: (False, 4.0), "https://b.com/1": (True, 0.0)}
+    many = spark.range(3000).select(F.concat(F.lit("https://a.com/"), (F.col("id") % 2900).cast("string")).alias("url"), "id")
+    starts = sorted(r.start_after for r in sources.schedule(sources.robots_gate(many, robots), key="id").collect())
+    assert starts == [4.0 * i for i in range(3000)]
     bodies = spark.createDataFrame([("é".encode(), None), ("é".encode("latin-1"), "iso-8859-1"), (b'<meta charset="iso-8859-1">\xe9', None), (b"\x93x\x94", None), (None, None)], "b binary, c string")
     assert [r.x for r in bodies.select(sources.decode_body("b", "c").alias("x")).collect()] == ["é", "é", '<meta charset="iso-8859-1">é', "“x”", None]
 
