@@ -25,8 +25,8 @@ from .tokenizing import default_file, encoder
 
 #: Bytes of a row group, and bytes and rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 128 << 10, 2_000
-#: Rows of a file at most, about, and from how many on another core is worth a file.
-ROWS_PER_FILE, ROWS_WORTH_A_FILE = 20_000, 1_000
+#: Rows of a file.
+ROWS_PER_FILE = 20_000
 
 
 def token_rows(docs: DataFrame, end_id: int = 0, file: str | None = None, text: str = "text") -> DataFrame:
@@ -48,9 +48,7 @@ def token_rows(docs: DataFrame, end_id: int = 0, file: str | None = None, text:
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, file: str | None = None, text: str = "text", rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write the ids of docs in ascending doc_id order; column part tells the order of the files."""
-    # Small tables still give every core a file, if it is worth one.
-    n, cores = docs.count(), docs.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-n // rows_per_file), min(cores, n // ROWS_WORTH_A_FILE))
+    parts = max(1, -(-docs.count() // rows_per_file))
     ranged = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = token_rows(ordered, end_id, file).withColumn("part", F.spark_partition_id())
