@@ -1,4 +1,4 @@
-"""python -m changelens <command>: evaluate, scan, analytics, digest, init over Parquet tables."""
+"""python -m changelens <command>: init, add, list, evaluate, scan, analytics, digest over Parquet tables."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from .plans import analytics, digest, evaluate, pipeline
 from .sources import captures as sources
+from .sources import edits
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="changelens")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, arguments in (("init", ["store"]), ("evaluate", ["pairs", "out"]), ("scan", ["captures", "store"]), ("analytics", ["store", "as_of"]), ("digest", ["store", "start", "end"])):
+    for name, arguments in (("init", ["store"]), ("add", ["store", "name", "website_url", "as_of"]), ("list", ["store"]), ("evaluate", ["pairs", "out"]), ("scan", ["captures", "store"]), ("analytics", ["store", "as_of"]), ("digest", ["store", "start", "end"])):
         own = commands.add_parser(name)
         for a in arguments:
             own.add_argument(a)
@@ -22,6 +23,15 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("changelens").getOrCreate()
     if args.command == "init":
         sources.create_tables(spark, args.store)
+    elif args.command == "add":
+        wanted = spark.createDataFrame([(args.name, args.website_url, "")], "name string, website_url string, description string")
+        row = edits.new_competitors(sources.read_table(spark, args.store, "competitors"), wanted, args.as_of).first()
+        if row is None:
+            parser.exit(1, "the name is taken or the URL is not safe\n")
+        sources.append(spark.createDataFrame([row]), args.store, "competitors")
+        print(row.id)
+    elif args.command == "list":
+        analytics.list_competitors(sources.read_table(spark, args.store, "competitors")).select("id", "name", "website_url", "active", "tracking_frequency").show(200, truncate=False)
     elif args.command == "evaluate":
         changes = evaluate.evaluate_pairs(spark.read.parquet(args.pairs))
         changes.write.mode("overwrite").parquet(args.out)
@@ -30,7 +40,9 @@ def main(argv: list[str] | None = None) -> None:
         categories = changes.filter(~F.col("is_noise")).groupBy(F.col("category").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
         print(evaluate.format_report(evaluate.merge_report(pages), pages, categories))
     elif args.command == "scan":
-        got = pipeline.scan(spark.read.parquet(args.captures), sources.read_table(spark, args.store, "competitors"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        keep = (lambda df: df.checkpoint()) if shared else (lambda df: df.persist())
+        got = pipeline.scan(spark.read.parquet(args.captures), sources.read_table(spark, args.store, "competitors"), keep=keep)
         for name, df in (("snapshots", got.snapshots), ("changes", got.changes.withColumn("source_url", F.col("url"))), ("intelligence", got.intelligence), ("scan_runs", got.runs)):
             sources.append(df, args.store, name)
     elif args.command == "analytics":

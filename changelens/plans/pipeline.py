@@ -54,20 +54,24 @@ def change_key(url: Column, before: Column, after: Column, seq: Column) -> Colum
     return F.sha2(F.concat_ws("|", url.cast("string"), before.cast("string"), after.cast("string"), seq.cast("string")).cast("binary"), 256)
 
 
-def scan(captures: DataFrame, competitors: DataFrame, budget: int = 8, narrator: Callable[[DataFrame], DataFrame] | None = None) -> Scan:
+def scan(
+    captures: DataFrame, competitors: DataFrame, budget: int = 8, narrator: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> Scan:
     """captures (id, tracked_url_id, competitor_id, url, timestamp, html, error) through the whole pipeline.
 
-    Unchanged captures are filtered out before any tree is compared.
+    Unchanged captures are filtered out before any tree is compared. Where several results of a
+    scan are written, `keep` (a checkpoint, or a written table) makes the two Python steps
+    run once for all of them.
     """
     good = captures.filter(F.col("error").isNull())
-    snapshots = stored(normalise_captures(good))
+    snapshots = keep(stored(normalise_captures(good)))
     paired = with_previous(snapshots, ["id", "raw_html", "normalized_text", "content_hash"]).filter(F.col("previous_id").isNotNull())
     page = ["tracked_url_id", "competitor_id", "url", "snapshot_id", "previous_snapshot_id", "detected_at"]
     pairs = paired.select(
         "tracked_url_id", "competitor_id", "url", F.col("id").alias("snapshot_id"), F.col("previous_id").alias("previous_snapshot_id"), F.col("timestamp").alias("detected_at"),
         F.col("previous_raw_html").alias("before_html"), F.col("raw_html").alias("after_html"), F.col("previous_normalized_text").alias("before_text"), F.col("normalized_text").alias("after_text"),
     )
-    changes = judged(diff_captures(pairs, page), round_between_stages=True).withColumn("change_key", change_key(F.col("tracked_url_id"), F.col("previous_snapshot_id"), F.col("snapshot_id"), F.col("seq")))
+    changes = keep(judged(diff_captures(pairs, page), round_between_stages=True)).withColumn("change_key", change_key(F.col("tracked_url_id"), F.col("previous_snapshot_id"), F.col("snapshot_id"), F.col("seq")))
     gated = budgeted(changes, ["tracked_url_id", "snapshot_id"], budget)
     named = gated.join(competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("subject")), "competitor_id", "left")
     told = (narrator or narrate)(named)

@@ -48,6 +48,31 @@ def test_scan(spark):
     assert (run.urls_scanned, run.urls_failed, run.status) == (2, 1, "completed") and run.raw_changes == run.noise_changes + run.meaningful_changes == got.changes.count()
 
 
+def test_commands(spark, tmp_path, capsys):
+    from pyspark.sql import SparkSession
+
+    from changelens.__main__ import main
+
+    store, at = str(tmp_path / "store"), str(tmp_path / "captures")
+    main(["init", store])
+    main(["add", store, "Firm", "f.com", "2024-01-01"])
+    key = int(capsys.readouterr().out.split()[-1])
+    try:
+        main(["add", store, "FIRM", "f.com", "2024-01-01"])
+    except SystemExit as stop:
+        assert stop.code == 1
+    rows = [(1, 1, key, "https://f.com/pricing", "2024-01-01", V1, None), (2, 1, key, "https://f.com/pricing", "2024-01-03", V2, None)]
+    spark.createDataFrame(rows, "id long, tracked_url_id long, competitor_id long, url string, timestamp string, html string, error string").withColumn("timestamp", F.to_timestamp_ntz("timestamp")).write.parquet(at)
+    main(["scan", at, store])
+    counts = {name: sources.read_table(spark, store, name).count() for name in ("competitors", "snapshots", "changes", "intelligence", "scan_runs")}
+    assert counts["competitors"] == 1 and counts["snapshots"] == 2 and counts["changes"] >= counts["intelligence"] > 0 and counts["scan_runs"] == 1
+    main(["list", store])
+    main(["analytics", store, "2024-01-04"])
+    main(["digest", store, "2024-01-01", "2024-01-04"])
+    told = capsys.readouterr().out
+    assert "Firm" in told and "Change digest" in told and SparkSession.getActiveSession() is not None
+
+
 def test_scan_of_pages(spark):
     """One in four pages has an unchanged second capture: it gives no change, the others give what evaluation gives for the same pair."""
     import __spark_entry__ as entry
