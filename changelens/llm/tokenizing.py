@@ -4,29 +4,53 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 
 #: A text of these characters only is cut into pre-tokens here; any other text goes to the tokenizer whole.
 _OTHER = re.compile(r"[^ -~\n¡-©«-±´¶-¸»¿-ÿ]")
-#: The pre-tokens of byte-level BPE for such texts: contractions, letters, digits, signs, white space.
+#: The pre-tokens of byte-level BPE for such texts: letters, digits, contractions (before signs), signs, white space.
 _PIECE = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+"
+    r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d"
     r"| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+"
 )
 #: Pre-tokens of a generation of the memory: when it is full it becomes the old one, and what is still used moves on.
 MEMO = 200_000
-#: New pre-tokens that are encoded as one text, a line each.
-JOINED = 256
-
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: the byte's own where it can be printed, else the next one above U+0100."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printed)
+    return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Memo(dict):
+    """Ids of pre-tokens, by the library's merges when first asked for; `old` is the generation before."""
+
+    def __init__(self, tokenize: Callable[[str], list], old: dict[str, bytes]) -> None:
+        self.tokenize, self.old = tokenize, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))
+            ids = pack(f"<{len(found)}I", *[t.id for t in found])
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in
-    order; each distinct pre-token is encoded once and remembered. Added tokens (<|endoftext|>)
+    order; each distinct pre-token is merged once and remembered. Added tokens (<|endoftext|>)
     are read as such, by the library from whole texts, unless `literal` asks for their characters.
     """
 
@@ -38,40 +62,17 @@ class Encoder:
         self.tokenizer.encode_special_tokens = literal
         #: A text that holds one of these goes to the tokenizer whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pre-tokens. A line break is a pre-token and an id of its own between two others, so lines are encoded together and parted at it."""
-        blank = [p for p in pieces if p.isspace()]
-        self.memo.update(zip(blank, self._ids(blank), strict=True))
-        lines = [p for p in pieces if not p.isspace()]
-        groups = [lines[i : i + JOINED] for i in range(0, len(lines), JOINED)]
-        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
-            ends = (np.nonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.line, "<u4")[0])[0] * 4).tolist()
-            self.memo.update(zip(group, [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
+        self.memo = _Memo(self.tokenizer.model.tokenize, {})
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or any(x in t for x in self.added)]
-        pieces = [_PIECE.findall(t) for t in texts]
-        for i in whole:
-            pieces[i] = []
-        used = set().union(*pieces)
         if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        new = used - self.memo.keys()
-        again = new & self.old.keys()
-        self.memo.update((p, self.old[p]) for p in again)
-        self._learn(list(new - again))
+            self.memo.old = {}
+            self.memo = _Memo(self.tokenizer.model.tokenize, self.memo)
         get = self.memo.__getitem__
-        out = [b"".join(map(get, p)) for p in pieces]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        return [self._whole(t) if _OTHER.search(t) or any(x in t for x in self.added) else b"".join(map(get, _PIECE.findall(t))) for t in texts]
 
 
 def encoder(file: str) -> Encoder:
