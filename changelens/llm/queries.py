@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, language_id, line_dedup, mixing, packing, quality_fm, quality_rules, simhash, token_files, url_filter
+from . import collocations, exact_dedup, filter_audit, language_id, line_dedup, mixing, packing, quality_fm, quality_rules, simhash, token_files, url_filter
 from ._shared import dealt_table, fresh_path, n_words, staged, table
 
 
@@ -107,11 +107,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(dealt_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(dealt_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_source_mixing, op3_quality_rules, op4_simhash_dedup, op5_exact_dedup, op6_best_fit_packing,
-        op7_url_filters, op8_language_id, op9_quality_classifier, op10_token_files, op11_filter_audit,
+        op7_url_filters, op8_language_id, op9_quality_classifier, op10_token_files, op11_filter_audit, op12_collocations,
     )
 }
 
@@ -206,4 +210,21 @@ ORACLE_SQL = {
         SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
                good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
     """,
+    "op12_collocations": r"""
+        WITH p AS (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        t AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+        g AS (SELECT lang, ws[i:i + d - 1] AS g FROM i, (VALUES (1), (2), (3)) AS x(d) WHERE i + d - 1 <= len(ws)),
+        f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
+        c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+        cover AS (SELECT lang, s, max(a) AS a FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS s, a FROM c WHERE len(g) = 3) GROUP BY lang, s),
+        k AS (SELECT c.* FROM c LEFT JOIN cover ON c.lang = cover.lang AND c.g = cover.s WHERE cover.a IS NULL OR 100 * cover.a < 50 * c.a),
+        cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM k),
+        s AS (SELECT cut.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a::HUGEINT * a::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score
+              FROM cut JOIN f x ON cut.lang = x.lang AND x.g = cut.g[1:k] JOIN f y ON cut.lang = y.lang AND y.g = cut.g[k + 1:len(cut.g)]),
+        m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+        FROM m JOIN t USING (lang) QUALIFY rank <= 2000
+    """,
 }
