@@ -1,6 +1,6 @@
 """Phrase collocation mining with generalised suffix automata, one for each shard of the corpus.
 
-A task cuts its texts into pieces and words and builds, for every few million words, the suffix
+A task cuts its texts into pieces and words and builds, for every million words or so, the suffix
 automaton of their pieces down to a bounded depth: a state is a substring of at most so many
 words, with the state of its prefix, a suffix link to the state without its first word, and the
 number of its end positions, which flow down the suffix links. States are ranked with numpy, level
@@ -65,8 +65,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Limits:
     """Bytes that one step holds in numpy form, words of a shard's automaton, rows of an output batch, bits of the bitmap of frequent keys (2^28: 32 MB, whatever the corpus), and entries that a reducing task merges at a time."""
 
-    block_bytes: int = 2 << 20
-    shard_words: int = 2_000_000
+    block_bytes: int = 1 << 20
+    shard_words: int = 750_000
     batch_rows: int = 50_000
     bitmap_bits: int = 28
     merge_entries: int = 4_000_000
@@ -133,29 +133,29 @@ class Level:
 
 
 class Automaton:
-    """Suffix automaton of a shard's pieces down to a depth. `seen` leading words are context whose end positions were counted before.
+    """Suffix automaton of a shard's pieces down to a depth.
 
-    `passes(depth, first hash of the states' words)` tells which states of a level are extended.
+    The `seen` leading words are context whose end positions were counted before; passes(depth,
+    automaton) tells which states of that depth may be part of longer ones.
     """
 
     def __init__(self, words: Words, depth: int, seen: int = 0, passes=None):
-        key = words.hashes[0] ^ mixed(words.lang.astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        state, _ = pd.factorize(key)
-        n = int(state.max()) + 1
-        first = np.empty(n, np.int64)
-        first[state[::-1]] = np.arange(len(state) - 1, -1, -1)
-        if not (words.hashes[1][first][state] == words.hashes[1]).all():
-            raise ValueError("two words share a 64-bit hash")  # about one in 10^7 shards
+        tongue = mixed(words.lang.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        for turn in range(64):  # another mixture in the rare case that two words of the shard meet at one number
+            state, unique = pd.factorize(mixed(words.hashes[0] + np.uint64(turn)) ^ words.hashes[1] ^ tongue)
+            n = len(unique)
+            first = np.empty(n, np.int64)
+            first[state[::-1]] = np.arange(len(state) - 1, -1, -1)
+            if (words.hashes[:, first][:, state] == words.hashes).all() and (words.lang[first][state] == words.lang).all():
+                break
         self.first = first
         self.keys = [words.hashes[0][first]]
         self.levels = [Level(np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n))]
-        counted = np.arange(len(state)) >= seen
-        longest, word = [np.where(counted, state, -1)], state
+        longest, word = [state.copy()], state
         same_piece = np.concatenate([[False], words.piece[1:] == words.piece[:-1]])
         here = np.arange(len(state))  # positions that have a state of the level above, and that state
         for d in range(2, depth + 1):
-            of = np.full(len(word), -1, np.int64)
-            of[here] = state
+            of = word if d == 2 else deeper.copy()
             ok = np.ones(len(self.keys[-1]), bool) if passes is None else passes(d - 1, self)
             good = same_piece & (of >= 0)
             good[1:] &= of[:-1] >= 0
@@ -172,7 +172,9 @@ class Automaton:
             deeper = np.full(len(word), -1, np.int64)
             deeper[here] = state
             longest[-1][here] = -1
-            longest.append(np.where(counted, deeper, -1))
+            longest.append(deeper)
+        for own in longest:
+            own[:seen] = -1
         for d in range(depth - 1, -1, -1):  # end positions flow from longer states to their suffixes
             level = self.levels[d]
             level.count = np.bincount(longest[d][longest[d] >= 0], minlength=len(level.last))
@@ -196,9 +198,11 @@ def _shards(batches: Iterator[pa.RecordBatch], depth: int, limits: Limits) -> It
                 n += len(words.size)
                 piece = int(words.piece[-1])
                 if n >= limits.shard_words:
-                    yield (shard := Words.joined(held)), context, names
+                    shard, held = Words.joined(held), []
+                    yield shard, context, names
                     held = [shard.tail(depth - 1)]
                     n = context = len(held[0].size)
+                    del shard
             piece += len(texts) + sum(map(len, texts)) + 1  # past every piece of these texts
     if n > context:
         yield Words.joined(held), context, names
