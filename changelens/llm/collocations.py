@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, chunks, prepare, staged
+from ._shared import as_bytes, chunks, prepare, staged, tidy
 
 UNKNOWN = "und"
 #: Largest count in an entry: its low byte.
@@ -269,7 +269,7 @@ def frequent_keys(rows: DataFrame, min_count: int, limits: Limits = Limits()) ->
     blocks = rows.mapInArrow(emit, "part int, entries binary").repartitionById(1 << bits, "part")
     bitmap = np.zeros(1 << (limits.bitmap_bits - 3), np.uint8)
     step = len(bitmap) >> bits
-    for r in blocks.mapInArrow(mark, "part int, flags binary").toLocalIterator():  # 2^bitmap_bits bits in all
+    for r in blocks.mapInArrow(mark, "part int, flags binary").collect():  # 2^bitmap_bits bits in all
         bitmap[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["flags"], np.uint8)
     return bitmap
 
@@ -284,7 +284,8 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, text
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
-    held = spark.sparkContext.broadcast(frequent_keys(rows, min_count, limits))
+    with tidy(spark):
+        held = spark.sparkContext.broadcast(frequent_keys(rows, min_count, limits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, context, names in _shards(batches, max_words, limits):
@@ -320,7 +321,8 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, text
                     yield pa.RecordBatch.from_arrays([known.take(pa.array(tongue[part])).cast(pa.string()), phrases.take(pa.array(part)).cast(pa.string()), pa.array(level.count[part], pa.int64())], names=["lang", "phrase", "f"])
 
     found = rows.mapInArrow(emit, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return staged(found.filter((F.col("f") >= min_count) | F.col("phrase").isNull()), "phrase-counts")
+    with tidy(spark):
+        return staged(found.filter((F.col("f") >= min_count) | F.col("phrase").isNull()), "phrase-counts")
 
 
 def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, cover_percent: int = 50, top: int = 2_000, text: str = "text", lang: str = "lang", limits: Limits = Limits()) -> DataFrame:
