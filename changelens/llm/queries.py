@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, filter_audit, language_id, line_dedup, mixing, packing, quality_fm, quality_rules, simhash, token_files, url_filter
+from . import collocations, exact_dedup, filter_audit, language_id, line_dedup, mixing, neighbours, packing, quality_fm, quality_rules, simhash, token_files, url_filter
 from ._shared import dealt_table, fresh_path, n_words, staged, table
 
 
@@ -111,11 +111,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(dealt_table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(dealt_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_source_mixing, op3_quality_rules, op4_simhash_dedup, op5_exact_dedup, op6_best_fit_packing,
-        op7_url_filters, op8_language_id, op9_quality_classifier, op10_token_files, op11_filter_audit, op12_collocations,
+        op7_url_filters, op8_language_id, op9_quality_classifier, op10_token_files, op11_filter_audit, op12_collocations, op13_nearest_neighbours,
     )
 }
 
