@@ -53,6 +53,8 @@ class Settings:
     met: int = 8
     rounds: int = 5
     settled: float = 0.03
+    #: A node that so many rows concern is met apart (split by a salt, or by broadcast), if these are over a thousandth of all.
+    crowd: int = 512
     #: Search: nodes of a beam, nodes expanded a round, rounds, entry nodes (a bounded sample), and how many times k are scored again.
     beam: int = 128
     width: int = 16
@@ -137,7 +139,7 @@ def first_edges(nodes: DataFrame, n: int, dims: int, s: Settings) -> DataFrame:
             if not batch.num_rows:
                 continue
             scale = batch.column("scale").to_numpy()
-            side = (_matrix(batch.column("code"), scale) @ planes > 0).reshape(-1, s.trees, bits) @ powers
+            side = (_matrix(batch.column("code"), scale) @ planes > 0).reshape(batch.num_rows, s.trees, bits) @ powers
             spread = pa.ListArray.from_arrays(pa.array(np.arange(0, side.size + 1, s.trees, dtype=np.int32)), pa.array(side.ravel().astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("code"), batch.column("scale"), spread], names=["node", "code", "scale", "sides"])
 
@@ -189,9 +191,9 @@ def descend(edges: DataFrame, nodes: DataFrame, parts: int, s: Settings) -> Data
     picked = edges.filter("pick")
     fore, back = picked.select(F.col("node").alias("at"), F.col("nbr").alias("node"), "fresh"), picked.select(F.col("nbr").alias("at"), "node", "fresh")
     both = staged(fore.unionByName(back), "ann-meetings")
-    share = max(512.0, both.count() * HOT_SHARE)
+    share = max(s.crowd, both.count() * HOT_SHARE)
     busy = both.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share)  # at most 1 / HOT_SHARE rows
-    salted = both.join(F.broadcast(busy), "at", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 128)), F.lit(0))).drop("n")
+    salted = both.join(F.broadcast(busy), "at", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (s.crowd / 4))), F.lit(0))).drop("n")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _grouped(batches, ["at", "salt"]):
@@ -225,7 +227,8 @@ def descend(edges: DataFrame, nodes: DataFrame, parts: int, s: Settings) -> Data
 def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Places of one of each pair."""
     order = np.lexsort((b, a))
-    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     return order[new]
 
 
@@ -326,7 +329,7 @@ def search(index: Index, asked: DataFrame, k: int = 20) -> DataFrame:
                     break
                 asks = staged(asks.join(lean, "q"), "ann-asks")
                 # A node that very many queries expand is met by broadcast.
-                often = F.broadcast(asks.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1_000.0, total * HOT_SHARE)).select("node", F.lit(True).alias("hot")))
+                often = F.broadcast(asks.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(s.crowd, total * HOT_SHARE)).select("node", F.lit(True).alias("hot")))
                 marked = asks.join(often, "node", "left")
                 cold = marked.filter(F.col("hot").isNull()).drop("hot").join(wide, "node")
                 hot = marked.filter("hot").drop("hot").join(F.broadcast(wide.join(often.drop("hot"), "node", "left_semi")), "node")
