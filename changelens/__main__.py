@@ -21,6 +21,8 @@ def main(argv: list[str] | None = None) -> None:
             own.add_argument(a)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("changelens").getOrCreate()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    keep = (lambda df: df.checkpoint()) if shared else (lambda df: df.persist())
     if args.command == "init":
         sources.create_tables(spark, args.store)
     elif args.command == "add":
@@ -40,11 +42,8 @@ def main(argv: list[str] | None = None) -> None:
         categories = changes.filter(~F.col("is_noise")).groupBy(F.col("category").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
         print(evaluate.format_report(evaluate.merge_report(pages), pages, categories))
     elif args.command == "scan":
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        keep = (lambda df: df.checkpoint()) if shared else (lambda df: df.persist())
-        got = pipeline.scan(spark.read.parquet(args.captures), sources.read_table(spark, args.store, "competitors"), keep=keep)
-        for name, df in (("snapshots", got.snapshots), ("changes", got.changes.withColumn("source_url", F.col("url"))), ("intelligence", got.intelligence), ("scan_runs", got.runs)):
-            sources.append(df, args.store, name)
+        found = pipeline.scan_store(spark.read.parquet(args.captures), sources.read_table(spark, args.store, "competitors"), pipeline.Stores.at(spark, args.store), keep)
+        found.groupBy("status").count().orderBy("status").show()
     elif args.command == "analytics":
         tables = {n: sources.read_table(spark, args.store, n) for n in ("competitors", "changes")}
         for name, report in analytics.analytics_payload(tables["competitors"], tables["changes"], args.as_of).items():

@@ -11,7 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -39,18 +39,31 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
 
 
-def with_python(df: DataFrame, inputs: list[str], output: StructField, compute: Callable[..., object]) -> DataFrame:
-    """df with a column computed row by row from the Python values of `inputs`; other columns pass through as Arrow."""
+def with_python(df: DataFrame, inputs: list[str], output: StructField, compute: Callable[..., object], error: str | None = None) -> DataFrame:
+    """df with a column computed row by row from the Python values of `inputs`; other columns pass through as Arrow.
+
+    With `error`, a row for which compute raises has null in the output and the exception's type
+    in a column of that name, and all other rows stand; without it the job fails.
+    """
     ship(df.sparkSession)
-    base = df.drop(output.name)
+    base = df.drop(output.name, *([error] if error else []))
     names = base.columns
     kind = to_arrow_type(output.dataType)
 
+    def tried(row: tuple) -> tuple[object, str | None]:
+        try:
+            return compute(*row), None
+        except Exception as raised:
+            if not error:
+                raise
+            return None, type(raised).__name__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                values = [compute(*row) for row in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values, kind)], names=[*names, output.name])
+                values = [tried(row) for row in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
+                made = [pa.array([v for v, _ in values], kind), *([pa.array([e for _, e in values], pa.string())] if error else [])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, output.name, *([error] if error else [])])
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, output]))
+    return base.mapInArrow(run, StructType([*base.schema.fields, output, *([StructField(error, StringType())] if error else [])]))

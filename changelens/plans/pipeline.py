@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, word_count
-from ..operators.diff import diff_captures
-from ..operators.html import blocks_to_text, with_page
+from ..functions.text import content_hash, folded, word_count
+from ..operators.diff import diff_pairs
+from ..operators.html import blocks_to_text, text_blocks, with_blocks, with_page
 from ..operators.narrate import assemble, budgeted, narrate
-from ..operators.snapshots import stored, with_previous
-from ..schema import MAX_STORED_HTML, NARRATE_MIN_SCORE
+from ..operators.ordered import lagged
+from ..operators.snapshots import stored_points
+from ..schema import NARRATE_MIN_SCORE
+from ..sources.store import BUCKETS, KeyedTable, keyed
 from .analytics import noise_reduction
 from .evaluate import judged
 
@@ -24,12 +26,18 @@ def is_retryable(status: Column) -> Column:
     return status.isin(*RETRYABLE)
 
 
-def normalise_captures(captures: DataFrame) -> DataFrame:
-    """captures (html) with title, normalized_text, word_count and content_hash of the whole page; the stored body is cut after."""
-    page = with_page(captures, "html")
-    text = page.withColumn("normalized_text", blocks_to_text(F.col("page.blocks"))).withColumn("title", F.col("page.title")).drop("page")
-    hashed = text.withColumns({"content_hash": content_hash("normalized_text"), "word_count": word_count("normalized_text")})
-    return hashed.withColumn("raw_html", F.left("html", F.lit(MAX_STORED_HTML))).drop("html")
+def normalise_captures(captures: DataFrame, stored_limit: int | None = None) -> DataFrame:
+    """captures (html) with title, blocks, normalized_text, word_count and content_hash of the whole page.
+
+    raw_html is the body to store: whole, or its first stored_limit characters, and then body_cut
+    tells of it. A page that can't be read has the error's type in `error`, and no content.
+    """
+    given = captures if "error" in captures.columns else captures.withColumn("error", F.lit(None).cast("string"))
+    page = with_page(given, "html", error="__error").withColumn("error", F.coalesce("error", "__error")).drop("__error")
+    text = page.withColumns({"blocks": F.col("page.blocks"), "normalized_text": blocks_to_text(F.col("page.blocks")), "title": F.col("page.title")}).drop("page")
+    hashed = text.withColumns({"content_hash": F.when(F.col("error").isNull(), content_hash("normalized_text")), "word_count": word_count("normalized_text")})
+    body = F.col("html") if stored_limit is None else F.left("html", F.lit(stored_limit))
+    return hashed.withColumns({"raw_html": body, "body_cut": F.length("html") > F.length(body)}).drop("html")
 
 
 def capture_status(rows: DataFrame) -> DataFrame:
@@ -40,13 +48,20 @@ def capture_status(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Scan:
-    """What a scan gives: stored snapshots, judged and narrated changes, records, and funnels by page and by competitor."""
+    """What a scan gives.
+
+    snapshots: rows to put into the store by (tracked_url_id, id), new ones and stored ones that
+    were seen again; changes and intelligence: judged and narrated; pages and runs: funnels by page
+    and by competitor; outcomes: a row a capture with status (failed, baseline, unchanged, changed,
+    or late: at or before what is stored of its URL, as in a replay), previous_id and error.
+    """
 
     snapshots: DataFrame
     changes: DataFrame
     intelligence: DataFrame
     pages: DataFrame
     runs: DataFrame
+    outcomes: DataFrame
 
 
 def change_key(url: Column, before: Column, after: Column, seq: Column) -> Column:
@@ -54,31 +69,132 @@ def change_key(url: Column, before: Column, after: Column, seq: Column) -> Colum
     return F.sha2(F.concat_ws("|", url.cast("string"), before.cast("string"), after.cast("string"), seq.cast("string")).cast("binary"), 256)
 
 
+_POINT = "id long, tracked_url_id long, timestamp timestamp_ntz, content_hash string"
+
+
+def placed(facts: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(captures, points) of facts (id, tracked_url_id, timestamp, content_hash) after what is stored; narrow rows only.
+
+    captures: each with status and previous_id, the stored capture it is compared with. points: each
+    capture that is stored, or is in the store already (known), with touched_at and previous_id.
+    """
+    spark, own = facts.sparkSession, ["id", "tracked_url_id", "timestamp", "content_hash"]
+    if stored is None:
+        stored = spark.createDataFrame([], _POINT + ", touched_at timestamp_ntz")
+    seen = F.greatest("timestamp", F.coalesce("touched_at", "timestamp"))
+    heads = stored.groupBy("tracked_url_id").agg(F.max_by(F.struct("id", "timestamp", "content_hash"), F.struct("timestamp", "id")).alias("head"), F.max(seen).alias("seen"))
+    heads = heads.join(facts.select("tracked_url_id").distinct(), "tracked_url_id", "left_semi")
+    met = facts.select(*own).join(heads.select(F.col("tracked_url_id").alias("__url"), "seen"), F.col("tracked_url_id") == F.col("__url"), "left").drop("__url")
+    late = F.coalesce(F.col("timestamp") <= F.col("seen"), F.lit(False))
+    # The last stored row stands first in its URL, so the first new capture is compared with it.
+    head_rows = heads.select(F.col("head.id").alias("id"), "tracked_url_id", F.col("head.timestamp").alias("timestamp"), F.col("head.content_hash").alias("content_hash"), F.lit(True).alias("known"))
+    line = met.filter(~late).select(*own, F.lit(False).alias("known")).unionByName(head_rows)
+    points = stored_points(line.select(*own), "tracked_url_id", "timestamp", "id", "content_hash")
+    points = lagged(points, ["id"], "tracked_url_id", "timestamp", "id")
+    points = points.join(head_rows.select("tracked_url_id", "id", "known"), ["tracked_url_id", "id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    marks = points.filter(~F.col("known")).select("tracked_url_id", "id", "previous_id", F.lit(True).alias("new"))
+    judged_ = met.join(marks, ["tracked_url_id", "id"], "left")
+    status = F.when(late, "late").when(F.col("new").isNull(), "unchanged").when(F.col("previous_id").isNull(), "baseline").otherwise("changed")
+    return judged_.select(*own, "previous_id", status.alias("status")), points
+
+
 def scan(
-    captures: DataFrame, competitors: DataFrame, budget: int = 8, narrator: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+    captures: DataFrame, competitors: DataFrame, budget: int = 8, narrator: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    stored: DataFrame | None = None, stored_limit: int | None = None, observation: Observation | None = None,
 ) -> Scan:
-    """captures (id, tracked_url_id, competitor_id, url, timestamp, html, error) through the whole pipeline.
+    """captures (id, tracked_url_id, competitor_id, url, timestamp, html, error) through the whole pipeline, after what is stored of their URLs.
+
+    `stored` are rows of the snapshots table (of the touched buckets, say); the first new capture of
+    a URL is compared with the newest of them, so any split of captures in time into scans gives
+    the changes that one scan gives. Unchanged captures are filtered out before any tree is compared.
+    Each new page is parsed once, whole. Where several results of a scan are written, `keep` (a
+    checkpoint, or a written table) makes the two Python steps run once for all of them.
 
-    Unchanged captures are filtered out before any tree is compared. Where several results of a
-    scan are written, `keep` (a checkpoint, or a written table) makes the two Python steps
-    run once for all of them.
+    Nothing raises for one page: a page that can't be read or aligned is `failed` with its error's
+    type and no changes. `observation` counts captures and failed ones while the pages are read.
     """
-    good = captures.filter(F.col("error").isNull())
-    snapshots = keep(stored(normalise_captures(good)))
-    paired = with_previous(snapshots, ["id", "raw_html", "normalized_text", "content_hash"]).filter(F.col("previous_id").isNotNull())
+    read = normalise_captures(captures.filter(F.col("error").isNull()), stored_limit)
+    if observation is not None:
+        read = read.observe(observation, F.count(F.lit(1)).alias("captures"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    facts = keep(read)
+    good = facts.filter(F.col("error").isNull())
+    found, points = placed(good, stored)
+    found, points = keep(found), keep(points)
+
+    new = points.filter(~F.col("known"))
+    fresh = good.join(new.select("tracked_url_id", "id", "touched_at"), ["tracked_url_id", "id"]).drop("blocks", "error")
+    if stored is None:
+        snapshots = fresh
+    else:  # stored rows whose content was seen again
+        again = points.filter("known").select("tracked_url_id", "id", F.col("touched_at").alias("__seen"))
+        again = stored.join(again, ["tracked_url_id", "id"]).filter(F.col("__seen") > F.coalesce("touched_at", "timestamp")).withColumn("touched_at", F.col("__seen")).drop("__seen")
+        snapshots = fresh.unionByName(again, allowMissingColumns=True)
+
+    changed = new.filter(F.col("previous_id").isNotNull()).select("tracked_url_id", "id", "previous_id")
+    bodies = good.select("tracked_url_id", "id", F.coalesce(F.length("raw_html"), F.lit(0)).alias("size"), "blocks", "normalized_text")
+    if stored is not None:
+        heads = stored.join(changed.select("tracked_url_id", F.col("previous_id").alias("id")), ["tracked_url_id", "id"], "left_semi")
+        heads = with_blocks(heads.select("tracked_url_id", "id", "raw_html", "normalized_text"), "raw_html", "blocks", error="__bad").drop("__bad")
+        bodies = bodies.unionByName(heads.select("tracked_url_id", "id", F.coalesce(F.length("raw_html"), F.lit(0)).alias("size"), "blocks", "normalized_text"))
+    before = bodies.select("tracked_url_id", F.col("id").alias("previous_id"), F.col("size").alias("old_size"), F.col("blocks").alias("old_blocks"), F.col("normalized_text").alias("old_text"))
+    after = good.select("tracked_url_id", "id", "competitor_id", "url", "timestamp", F.coalesce(F.length("raw_html"), F.lit(0)).alias("size"), "blocks", "normalized_text")
+    pairs = changed.join(before, ["tracked_url_id", "previous_id"]).join(after, ["tracked_url_id", "id"])
+    both = (F.col("size") > 0) & (F.col("old_size") > 0)  # by blocks of HTML where both bodies are there, else by lines
     page = ["tracked_url_id", "competitor_id", "url", "snapshot_id", "previous_snapshot_id", "detected_at"]
-    pairs = paired.select(
+    blocks = pairs.select(
         "tracked_url_id", "competitor_id", "url", F.col("id").alias("snapshot_id"), F.col("previous_id").alias("previous_snapshot_id"), F.col("timestamp").alias("detected_at"),
-        F.col("previous_raw_html").alias("before_html"), F.col("raw_html").alias("after_html"), F.col("previous_normalized_text").alias("before_text"), F.col("normalized_text").alias("after_text"),
+        F.when(both, F.col("old_blocks")).otherwise(text_blocks(folded("old_text"))).alias("before_blocks"), F.when(both, F.col("blocks")).otherwise(text_blocks(folded("normalized_text"))).alias("after_blocks"),
     )
-    changes = keep(judged(diff_captures(pairs, page), round_between_stages=True)).withColumn("change_key", change_key(F.col("tracked_url_id"), F.col("previous_snapshot_id"), F.col("snapshot_id"), F.col("seq")))
+    raw = keep(diff_pairs(blocks, page, error="error"))
+    lost = raw.filter(F.col("error").isNotNull()).select("tracked_url_id", F.col("snapshot_id").alias("id"), F.col("error").alias("lost"))
+    changes = keep(judged(raw.filter(F.col("error").isNull()).drop("error"), round_between_stages=True)).withColumn("change_key", change_key(F.col("tracked_url_id"), F.col("previous_snapshot_id"), F.col("snapshot_id"), F.col("seq")))
+
     gated = budgeted(changes, ["tracked_url_id", "snapshot_id"], budget)
     named = gated.join(competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("subject")), "competitor_id", "left")
     told = (narrator or narrate)(named)
     records = told.filter(~F.col("is_noise") & (F.col("relevance_score") >= NARRATE_MIN_SCORE))
     narrated = told.withColumn("title", F.when(~F.col("is_noise") & (F.col("relevance_score") >= NARRATE_MIN_SCORE), F.col("title")))
     pages = assemble(narrated, ["competitor_id", "tracked_url_id", "snapshot_id"])
-    return Scan(snapshots, changes, records, pages, scan_runs(captures, pages))
+
+    unread = facts.filter(F.col("error").isNotNull()).unionByName(captures.filter(F.col("error").isNotNull()), allowMissingColumns=True)
+    about = facts.select("tracked_url_id", "id", "competitor_id", "url")
+    outcomes = found.join(about, ["tracked_url_id", "id"]).join(lost, ["tracked_url_id", "id"], "left")
+    outcomes = outcomes.select("id", "tracked_url_id", "competitor_id", "url", "timestamp", F.when(F.col("lost").isNotNull(), "failed").otherwise(F.col("status")).alias("status"), "previous_id", F.col("lost").alias("error"))
+    outcomes = outcomes.unionByName(unread.select("id", "tracked_url_id", "competitor_id", "url", "timestamp", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("previous_id"), "error"))
+    return Scan(snapshots, changes, records, pages, scan_runs(outcomes, pages), outcomes)
+
+
+@dataclass
+class Stores:
+    """The tables that a scan reads and writes, with keys: a replayed scan adds nothing."""
+
+    snapshots: KeyedTable
+    changes: KeyedTable
+    intelligence: KeyedTable
+    scan_runs: KeyedTable
+
+    @classmethod
+    def at(cls, spark: SparkSession, location: str, buckets: int = BUCKETS) -> Stores:
+        return cls(*(keyed(spark, location, f.name, buckets) for f in fields(cls)))
+
+
+def scan_store(captures: DataFrame, competitors: DataFrame, stores: Stores, keep: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
+    """Scan captures against the store and put all results into it; (outcomes) of the scan.
+
+    Only the buckets of the captures' URLs are read and written. Snapshots come last, so a scan
+    that is broken off and run again finds the same work and puts the same keys.
+    """
+    held = stores.snapshots.read(stores.snapshots.touched(captures)).drop("bucket")
+    got = scan(captures, competitors, keep=keep, stored=held, **options)
+    outcomes, snapshots = keep(got.outcomes), keep(got.snapshots)
+    stores.changes.merge(got.changes.withColumn("source_url", F.col("url")), number="id")
+    touched = stores.changes.touched(got.intelligence)
+    ids = stores.changes.read(touched).select("change_key", F.col("id").alias("change_id"))
+    stores.intelligence.merge(got.intelligence.withColumns({"source_url": F.col("url"), "created_at": F.col("detected_at"), "confidence": F.col("classifier_confidence")}).join(ids, "change_key"), number="id")
+    at = outcomes.groupBy("competitor_id").agg(F.min("timestamp").alias("started_at"), F.max("timestamp").alias("finished_at"), F.count_if(F.col("status") != "late").alias("n")).filter("n > 0").drop("n")
+    stores.scan_runs.merge(got.runs.join(at, "competitor_id"), number="id")
+    stores.snapshots.merge(snapshots)
+    return outcomes
 
 
 def scan_runs(captures: DataFrame, pages: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ from pyspark.sql.types import StringType
 from ..functions.urls import origin
 from ..operators.snapshots import collapse_digests
 from ..schema import TABLES, table_schema
-
-MAX_BODY = 5_000_000
+from .store import KEYS, keyed
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -40,11 +39,23 @@ def decode_body(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
     return pd.Series([_decode(b, c) for b, c in zip(bodies, charsets, strict=True)])
 
 
-def archive_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Downloaded archive bodies: (path, timestamp, html); empty bodies carry an error."""
+_STAMP = r"/url_(\d+)/(\d{8})T?(\d{6})_([0-9a-f]{1,64})\.html$"
+
+
+def archive_folder(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Stored bodies url_<id>/<stamp>_<hash12>.html: (path, tracked_url_id, timestamp, hash12, html, body_cut, error).
+
+    Times are those of the names; a file with another name has the time it was written. Empty bodies
+    carry an error. With `limit`, html is its first characters and body_cut tells of it.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(path)
-    text = files.select("path", F.col("modificationTime").cast("timestamp_ntz").alias("timestamp"), F.left(decode_body("content", F.lit(None).cast("string")), F.lit(MAX_BODY)).alias("html"))
-    return text.withColumn("error", F.when(F.trim(F.coalesce("html", F.lit(""))) == "", "empty body"))
+    part = lambda k: F.nullif(F.regexp_extract("path", _STAMP, k), F.lit(""))
+    named = F.try_to_timestamp(F.concat(part(2), part(3)), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    text = files.select(
+        "path", part(1).cast("long").alias("tracked_url_id"), F.coalesce(named, F.col("modificationTime").cast("timestamp_ntz")).alias("timestamp"), part(4).alias("hash12"), decode_body("content", F.lit(None).cast("string")).alias("html")
+    )
+    cut = text.withColumn("body_cut", F.lit(False)) if limit is None else text.withColumns({"body_cut": F.length("html") > limit, "html": F.left("html", F.lit(limit))})
+    return cut.withColumn("error", F.when(F.trim(F.coalesce("html", F.lit(""))) == "", "empty body"))
 
 
 def archive_index(rows: DataFrame, limit: int = 40) -> DataFrame:
@@ -55,7 +66,7 @@ def archive_index(rows: DataFrame, limit: int = 40) -> DataFrame:
     good = rows.withColumns({"at": at, "status_code": F.col("statuscode").try_cast("int"), "id": key}).filter(F.col("at").isNotNull() & (F.col("status_code") == 200))
     order = F.col("at").desc() if limit < 0 else F.col("at").asc()
     nth = F.row_number().over(Window.partitionBy("url").orderBy(order, "id"))
-    return collapse_digests(good, at="at").withColumn("__nth", nth).filter(F.col("__nth") <= n).drop("__nth").orderBy("url", "at")
+    return collapse_digests(good, at="at").withColumn("__nth", nth).filter(F.col("__nth") <= n).drop("__nth")
 
 
 def robots_gate(captures: DataFrame, robots: DataFrame) -> DataFrame:
@@ -85,18 +96,24 @@ def body_name(tracked_url_id: Column, at: Column, digest: Column) -> Column:
 
 
 def create_tables(spark: SparkSession, location: str) -> None:
-    """Empty tables where there are none yet."""
+    """Empty tables where there are none yet; those with a key begin with their first merge."""
     for name in TABLES:
-        spark.createDataFrame([], table_schema(name)).write.mode("ignore").parquet(f"{location}/{name}")
+        if name not in KEYS:
+            spark.createDataFrame([], table_schema(name)).write.mode("ignore").parquet(f"{location}/{name}")
 
 
 def append(df: DataFrame, location: str, name: str) -> None:
-    """Add rows to a table by its schema; columns that are missing are null."""
+    """Add rows to a table by its schema, missing columns null; rows of a table with a key replace those with the same key."""
+    if name in KEYS:
+        keyed(df.sparkSession, location, name).merge(df)
+        return
     fields = table_schema(name).fields
     df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields)).write.mode("append").parquet(f"{location}/{name}")
 
 
 def read_table(spark: SparkSession, location: str, name: str) -> DataFrame:
+    if name in KEYS:
+        return keyed(spark, location, name).read().drop("bucket")
     return spark.read.schema(table_schema(name)).parquet(f"{location}/{name}")
 
 

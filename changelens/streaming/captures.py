@@ -1,48 +1,87 @@
 """A stream of captures: per URL the last content is state, and only new content goes on.
 
-Each micro-batch is deduplicated against the stored snapshots and its changes are appended; both
-sinks are keyed, so a replayed batch adds nothing.
+The state of a URL is one small value (hash, time and id of its last content) in a RocksDB state
+store with a change log, so a micro-batch reads and writes the URLs that it holds, not the store. A
+timer a URL tells when nothing has been captured for a while. The sink is a file sink of exactly
+once; a capture that comes again is equal to what is known or late, and adds nothing.
+
+Defined results: captures of a URL are taken by (timestamp, id); one at or before the last known
+time of its URL is late and is given with kind `late`, without changing the state; a null hash is
+a content of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 CAPTURE = "id long, tracked_url_id long, competitor_id long, url string, timestamp timestamp_ntz, content_hash string, normalized_text string"
+EVENT = "tracked_url_id long, kind string, id long, timestamp timestamp_ntz, content_hash string, previous_id long, previous_hash string"
+_EVENT = Row(*(f.split(" ")[0] for f in EVENT.split(", ")))
+STATE = "content_hash string, timestamp timestamp_ntz, id long, seen timestamp_ntz"
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def capture_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def new_content(batch: DataFrame, last: DataFrame) -> DataFrame:
-    """Captures of a batch whose hash differs from the one before, which for the first is the stored last (tracked_url_id, content_hash, ...)."""
-    known = last.select(F.col("tracked_url_id"), F.col("content_hash").alias("__stored"))
-    own = Window.partitionBy("tracked_url_id").orderBy("timestamp", "id")
-    joined = batch.join(known, "tracked_url_id", "left")
-    before = F.coalesce(F.lag("content_hash").over(own), F.col("__stored"))
-    return joined.withColumn("previous_hash", before).filter(~F.col("content_hash").eqNullSafe(F.col("previous_hash"))).drop("__stored")
-
-
-def follow(stream: DataFrame, state_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Run what is there, then stop: stored captures to out_path/batch=<n>, the last of each URL to state_path/batch=<n>."""
-    spark = stream.sparkSession
-
-    def step(batch: DataFrame, n: int) -> None:
-        names = "tracked_url_id long, content_hash string, timestamp timestamp_ntz, id long"
-        last = spark.read.schema(names).parquet(f"{state_path}/batch={n - 1}") if n else spark.createDataFrame([], names)
-        batch.persist()
-        try:
-            new_content(batch, last).write.mode("overwrite").parquet(f"{out_path}/batch={n}")
-            seen = last.unionByName(batch.select("tracked_url_id", "content_hash", "timestamp", "id"))
-            newest = seen.groupBy("tracked_url_id").agg(F.max_by(F.struct("content_hash", "timestamp", "id"), F.struct("timestamp", "id")).alias("r"))
-            newest.select("tracked_url_id", "r.*").write.mode("overwrite").parquet(f"{state_path}/batch={n}")
-        finally:
-            batch.unpersist()
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class LastContent(StatefulProcessor):
+    """Gives a row for each capture with new content (kind `new`), each late one (`late`), and each URL without captures for `idle_ms` (`idle`)."""
+
+    def __init__(self, idle_ms: int | None = None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        url = key[0]
+        known = self.last.get() if self.last.exists() else None
+        digest, at, id_, seen = known or (None, None, None, None)
+        for r in sorted(rows, key=lambda r: (r.timestamp, r.id)):
+            if seen is not None and (r.timestamp < seen or (r.timestamp == seen and r.id <= id_)):
+                if not (r.id == id_ and r.timestamp == at):
+                    yield _EVENT(url, "late", r.id, r.timestamp, r.content_hash, None, None)
+                continue
+            if known is None or r.content_hash != digest:
+                yield _EVENT(url, "new", r.id, r.timestamp, r.content_hash, id_, digest)
+                known, digest, at, id_ = True, r.content_hash, r.timestamp, r.id
+            seen = r.timestamp
+        self.last.update((digest, at, id_, seen))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.last.exists():
+            digest, at, id_, _ = self.last.get()
+            yield _EVENT(key[0], "idle", id_, at, digest, None, None)
+
+    def close(self) -> None:
+        pass
+
+
+def new_content(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Events (EVENT) of a stream of captures."""
+    narrow = stream.select("tracked_url_id", "id", "timestamp", "content_hash")  # no bodies in the state's shuffle
+    return narrow.groupBy("tracked_url_id").transformWithState(LastContent(idle_ms), EVENT, "Append", "ProcessingTime")
+
+
+def follow(stream: DataFrame, out_path: str, checkpoint: str, idle_ms: int | None = None) -> StreamingQuery:
+    """Run what is there, then stop: the events go to out_path."""
+    for name, value in ROCKSDB.items():
+        stream.sparkSession.conf.set(name, value)
+    events = new_content(stream, idle_ms)
+    return events.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def daily_activity(changes: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -126,13 +126,24 @@ def test_tables_and_reports(spark, tmp_path):
 
 
 def test_stream_follows_content(spark, tmp_path):
-    inbox, state, out, mark = (str(tmp_path / x) for x in ("in", "state", "out", "mark"))
+    inbox, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     batch = lambda *rows: spark.createDataFrame(rows, streaming.CAPTURE.replace("timestamp timestamp_ntz", "timestamp string")).withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
-    batch((1, 1, 9, "u", "2024-01-01", "a", "x"), (2, 1, 9, "u", "2024-01-02", "a", "x"), (3, 2, 9, "v", "2024-01-01", "b", "x")).coalesce(1).write.parquet(inbox)
-    streaming.follow(streaming.capture_stream(spark, inbox), state, out, mark).awaitTermination(120)
-    batch((4, 1, 9, "u", "2024-01-03", "a", "x"), (5, 1, 9, "u", "2024-01-04", "c", "x")).coalesce(1).write.mode("append").parquet(inbox)
-    streaming.follow(streaming.capture_stream(spark, inbox), state, out, mark).awaitTermination(120)
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 3, 5]
+
+    def run(*rows):
+        batch(*rows).coalesce(1).write.mode("append").parquet(inbox)
+        query = streaming.follow(streaming.capture_stream(spark, inbox), out, mark)
+        query.awaitTermination(180)
+        return {(r.id, r.kind, r.previous_id) for r in spark.read.parquet(out).collect()}, [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+
+    many = [(1000 + k, 1000 + k, 9, "w", "2024-01-01", "z", "x") for k in range(40)]
+    first, _ = run((1, 1, 9, "u", "2024-01-01", "a", "x"), (2, 1, 9, "u", "2024-01-02", "a", "x"), (3, 2, 9, "v", "2024-01-01", "b", "x"), *many)
+    assert {x for x in first if x[0] < 1000} == {(1, "new", None), (3, "new", None)} and len(first) == 42
+    second, progress = run((4, 1, 9, "u", "2024-01-03", "a", "x"), (5, 1, 9, "u", "2024-01-04", "c", "x"))
+    assert second - first == {(5, "new", 1)}
+    # State is written for the URLs of the batch, not for all that are known.
+    assert sum(p["numRowsUpdated"] for p in progress) <= 2 and progress[-1]["numRowsTotal"] == 42
+    third, _ = run((5, 1, 9, "u", "2024-01-04", "c", "x"), (6, 1, 9, "u", "2024-01-02", "q", "x"), (7, 1, 9, "u", "2024-01-05", "a", "x"))
+    assert third - second == {(6, "late", None), (7, "new", 5)}
 
 
 def test_entry_survives_without_the_corpus_operators(monkeypatch):
