@@ -73,15 +73,15 @@ class LastContent(StatefulProcessor):
 def new_content(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Events (EVENT) of a stream of captures."""
     narrow = stream.select("tracked_url_id", "id", "timestamp", "content_hash")  # no bodies in the state's shuffle
-    return narrow.groupBy("tracked_url_id").transformWithState(LastContent(idle_ms), EVENT, "Append", "ProcessingTime")
+    return narrow.groupBy("tracked_url_id").transformWithState(LastContent(idle_ms), EVENT, "Append", "None" if idle_ms is None else "ProcessingTime")
 
 
 def follow(stream: DataFrame, out_path: str, checkpoint: str, idle_ms: int | None = None) -> StreamingQuery:
-    """Run what is there, then stop: the events go to out_path."""
+    """The events go to out_path: run what is there, then stop; with timers for idle URLs, go on until stopped."""
     for name, value in ROCKSDB.items():
         stream.sparkSession.conf.set(name, value)
-    events = new_content(stream, idle_ms)
-    return events.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    writer = new_content(stream, idle_ms).writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if idle_ms is None else writer.trigger(processingTime="1 second")).start()
 
 
 def daily_activity(changes: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -144,6 +144,17 @@ def test_stream_follows_content(spark, tmp_path):
     assert sum(p["numRowsUpdated"] for p in progress) <= 2 and progress[-1]["numRowsTotal"] == 42
     third, _ = run((5, 1, 9, "u", "2024-01-04", "c", "x"), (6, 1, 9, "u", "2024-01-02", "q", "x"), (7, 1, 9, "u", "2024-01-05", "a", "x"))
     assert third - second == {(6, "late", None), (7, "new", 5)}
+    # With a timer, a URL without captures is told of.
+    idle = streaming.follow(streaming.capture_stream(spark, inbox), str(tmp_path / "out2"), str(tmp_path / "mark2"), idle_ms=10)
+    try:
+        for _ in range(60):
+            idle.awaitTermination(1)
+            told = {r.kind for r in spark.read.schema(streaming.EVENT).parquet(str(tmp_path / "out2")).collect()} if (tmp_path / "out2").exists() else set()
+            if "idle" in told:
+                break
+    finally:
+        idle.stop()
+    assert told >= {"new", "idle"}
 
 
 def test_entry_survives_without_the_corpus_operators(monkeypatch):
