@@ -47,14 +47,16 @@ def token_rows(docs: DataFrame, end_id: int = 0, file: str | None = None, text:
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, file: str | None = None, text: str = "text", rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Write the ids of docs in ascending doc_id order; column part tells the order of the files."""
+    """Write the ids of docs in ascending doc_id order; columns part and place tell the order of the files and of the documents in each."""
     parts = max(1, -(-docs.count() // rows_per_file))
     ranged = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = token_rows(ordered, end_id, file).withColumn("part", F.spark_partition_id())
+    # The number of the file and the place in it: rows of one doc_id have no other order.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = token_rows(ordered, end_id, file).withColumns({"part": F.spark_partition_id(), "place": place})
     writer = rows.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
     writer = writer.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
-    writer = writer.option("parquet.enable.dictionary", "true").option("parquet.enable.dictionary#doc_id", "false").option("parquet.enable.dictionary#n_tokens", "false")
+    writer = writer.option("parquet.enable.dictionary", "true").option("parquet.enable.dictionary#doc_id", "false").option("parquet.enable.dictionary#n_tokens", "false").option("parquet.enable.dictionary#place", "false")
     writer.option("parquet.dictionary.page.size", 1 << 20).parquet(path)
 
 
@@ -82,12 +84,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             edges, flat = lists.offsets.to_numpy(), memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             n = np.diff(edges).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(n), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("place"), batch.column("doc_id"), pa.array(n), pa.array(crc, pa.int64())], names=["part", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read.select("part", "doc_id", "ids").mapInArrow(run, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long")
+    rows = read.select("part", "place", "doc_id", "ids").mapInArrow(run, f"part int, place long, doc_id {kind}, n_tokens long, ids_crc32 long")
     sums = read_lengths(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return rows.join(sums, "part").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
