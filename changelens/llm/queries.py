@@ -179,7 +179,7 @@ ORACLE_SQL = {
     """,
     "op7_url_filters": r"""
         WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_hours(CAST((page_id * 37) % 8784 AS INTEGER)) AS fetched_at,
-                          nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', ''), '') AS host,
+                          nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:\[\]]+)', 1)), '\.$', ''), '') AS host,
                           list_filter(string_split(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS segs FROM pages),
         e AS (SELECT DISTINCT kind, value FROM (
                 SELECT 'domain' AS kind, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS value FROM p WHERE host IS NOT NULL
@@ -190,7 +190,7 @@ ORACLE_SQL = {
         i AS (SELECT CASE WHEN a % 2 = 0 THEN 'ads' ELSE 'spam' END AS list, kind, lower(value) AS value, TIMESTAMP '2024-01-01' + to_days(b) AS since,
                      CASE WHEN c % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_days(b + 20 + c) END AS until FROM c WHERE a < 96
               UNION ALL SELECT CASE WHEN a % 2 = 0 THEN 'ads' ELSE 'spam' END, kind, lower(value), TIMESTAMP '2024-01-01' + to_days(b + 60 + c), NULL FROM c WHERE a < 96 AND c % 3 = 2),
-        k AS (SELECT page_id, url, fetched_at, host, 'domain' AS kind, array_to_string(string_split(host, '.')[x:], '.') AS value FROM (SELECT *, unnest(range(1, len(string_split(host, '.')))) AS x FROM p WHERE host IS NOT NULL)
+        k AS (SELECT page_id, url, fetched_at, host, 'domain' AS kind, array_to_string(string_split(host, '.')[x:], '.') AS value FROM (SELECT *, unnest(range(1, len(string_split(host, '.')))) AS x FROM p WHERE host IS NOT NULL AND NOT starts_with(host, '['))
               UNION ALL SELECT page_id, url, fetched_at, host, 'host', host FROM p WHERE host IS NOT NULL
               UNION ALL SELECT page_id, url, fetched_at, host, 'prefix', lower(host || '/' || array_to_string(segs[1:x], '/')) FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS x FROM p WHERE host IS NOT NULL)),
         h AS (SELECT k.page_id, k.kind, k.value, i.list, i.since, row_number() OVER (PARTITION BY page_id ORDER BY CASE k.kind WHEN 'prefix' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, length(k.value) DESC, k.value, i.list) AS n

@@ -12,7 +12,8 @@ Defined results: a null or unparsable URL, or a null time, is not blocked and ha
 the instant of a removal an entry no longer holds, at the instant of an addition it does; of
 several entries that hold, the most specific kind (prefix, host, domain), then the longest, then
 the first value and list is the reason; entries with null fields are ignored; columns named like
-an output are replaced.
+an output are replaced; paths and entries are compared in lower case; the host of an IPv6
+address is the address in its brackets, and has no parent domains.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ OUTPUTS = ("host", "blocked", "kind", "value", "list", "since")
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and final dot; null where there is none."""
-    host = F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    """Lower-case host without user, port and final dot, an IPv6 address in its brackets; null where there is none."""
+    host = F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:\[\]]+)", 1))
     return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
 
 
@@ -43,7 +44,8 @@ def keys_of(url: Column) -> Column:
     tail = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     upper = lambda n: F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    domains = F.transform(upper(F.size(labels) - 1), lambda i: entry("domain", tail(i)))
+    address = host.startswith("[")  # an address has no parent domains
+    domains = F.transform(upper(F.when(address, 0).otherwise(F.size(labels) - 1)), lambda i: entry("domain", tail(i)))
     prefixes = F.transform(upper(F.size(segments)), lambda i: entry("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/"))))
     return F.when(host.isNotNull(), F.concat(domains, F.array(entry("host", host)), prefixes))
 
