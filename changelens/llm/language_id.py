@@ -4,13 +4,17 @@ Texts become square roots of hashed byte-trigram counts, scaled to unit length.
 separator a family (one against the rest) picks the family; inside it one-versus-one linear
 support vector machines (squared hinge) vote, each trained on the two languages' documents only.
 
-The model is fitted on a bounded sample: at most about SAMPLE_ROWS labelled documents, spread
-evenly over the labels, chosen by a hash of doc_id; their features (16 kB each) are computed in
-tasks and gathered on the driver. Every document is then scored whole, in bounded batches.
+The model is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows, spread evenly over the
+labels, each with LEAST_ROWS at least where it has so many, chosen by a hash of the row; their
+features (16 kB each) are computed in tasks and gathered on the driver. Where there are more than
+SAMPLE_ROWS / LEAST_ROWS labels, the most frequent ones are learned. Every document is then scored
+whole, in bounded batches.
 
 Defined results: a null text, or one without any letter, is `und` with score 0; rows with a null
-label are not learned from; without any label every text is `und`; repeated rows get equal
-results; other columns are passed on and columns named like an output are replaced.
+label are not learned from; without any label every text is `und`; null and repeated doc_ids
+change nothing, and repeated rows get equal results; texts of any length are read whole; an empty
+table gives an empty table; other columns are passed on and columns named like an output are
+replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +25,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import as_bytes, chunks, collected_rows, prepare
 
 DIMS = 4096
 SAMPLE_ROWS = 2_400
-MAX_LABELS = 1_000
+#: Rows that every learned label has in the sample, where it has so many.
+LEAST_ROWS = 2
 UNKNOWN = "und"
 #: Families of the languages that are told apart within one; any other label is a family of its own.
 FAMILIES = {
@@ -129,14 +134,17 @@ def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang
     """A model from about `rows` documents of those where `learn` holds and the label is not null."""
     prepare(docs.sparkSession)
     labelled = docs.filter(learn & F.col(label).isNotNull())
-    counts = collected_rows(labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")), MAX_LABELS)
-    if not counts:
+    counts = labelled.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__label").limit(rows // LEAST_ROWS)
+    known = collected_rows(counts, rows // LEAST_ROWS)
+    if not known:
         return None
-    each = rows / len(counts)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == r[label], F.lit(min(1.0, each / r["n"]))).otherwise(share)
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000)) < share * 1_000_000)
+    each = max(LEAST_ROWS, rows // len(known))
+    # By a hash of the row: a label whose rows share a doc_id is sampled like any other. Some more than asked for pass, and are cut.
+    share = labelled.sparkSession.createDataFrame([(r["__label"], min(1.0, (1.5 * each + 20) / r["n"])) for r in known], labelled.select(F.col(label).alias("__label")).schema.add("__share", "double"))
+    draw = F.xxhash64(F.lit(11), F.col("doc_id"), F.monotonically_increasing_id())
+    drawn = labelled.select("doc_id", F.col(label).alias("__label"), F.col(text).alias("text"), draw.alias("__draw")).join(F.broadcast(share), "__label")  # at most rows / LEAST_ROWS labels
+    drawn = drawn.filter(F.pmod(F.col("__draw"), F.lit(1_000_000)) < F.col("__share") * 1_000_000)
+    sample = drawn.withColumn("__nth", F.row_number().over(Window.partitionBy("__label").orderBy("__draw"))).filter(F.col("__nth") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -144,7 +152,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang
                 x = features(as_bytes(batch.column("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "x"])
 
-    narrow = sample.select(F.col("doc_id").cast("string").alias("id"), F.col(label).alias("label"), F.col(text).alias("text"))
+    narrow = sample.select(F.col("__draw").cast("string").alias("id"), F.col("__label").cast("string").alias("label"), "text")
     got = narrow.mapInArrow(run, "id string, label string, x binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, DIMS)
     return Model.fit(x, got.column("label").to_pylist())
