@@ -144,9 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], names=["id", "label", "at", "x"])
 
     # The chosen labels are about `rows` small rows, so they are broadcast.
-    sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    chosen = F.broadcast(chosen)
+    met = docs.select("doc_id", F.col(text).alias("text"), F.monotonically_increasing_id().alias("__row")).join(chosen, "doc_id")
+    # Rows that repeat a labelled doc_id are thinned by a hash of the row, so that about `rows` are gathered in all.
+    many = docs.select("doc_id").join(chosen, "doc_id").count()
+    thin = F.pmod(F.xxhash64(F.lit(17), "__row"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, rows / max(1, many))))
+    sample = met if many <= 1.2 * rows else met.filter(thin)
     narrow = sample.select(F.col("doc_id").cast("string").alias("id"), F.col("__label").cast("int").alias("label"), "text")
-    got = narrow.mapInArrow(run, "id string, label int, at binary, x binary").toArrow().sort_by("id")
+    got = narrow.mapInArrow(run, "id string, label int, at binary, x binary").limit(2 * rows).toArrow().sort_by("id")
     found = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(got.column("at").to_pylist(), got.column("x").to_pylist(), strict=True)]
     return Machine.fit(found, got.column("label").to_numpy().astype(np.float32))
 
