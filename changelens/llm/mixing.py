@@ -10,7 +10,7 @@ inside one range, so that a source with a third of all rows is spread over all t
 is found by narrowing histograms of finish times, never by sorting all rows in one task.
 
 Defined results: a null text or size counts 0 and is never taken; null sources form one source,
-last; rows that repeat a doc_id are rows of their own (ordered by their size); an empty table gives
+last; ids may be numbers or texts, a null one stands first; rows that repeat a doc_id are rows of their own (ordered by their size); an empty table gives
 an empty mix; a column named like one of the operator's is replaced.
 """
 
@@ -71,7 +71,7 @@ def _range(rank: Column) -> Column:
 
 def _key(vft: Column) -> Column:
     """The place of a document in the mix: finish time, then source, rank and id."""
-    return F.struct(vft.alias("vft"), F.coalesce("source", F.lit("\U0010ffff")).alias("s"), F.col("__rank").alias("r"), F.coalesce(F.col("__row.doc_id"), F.lit(-1)).alias("d"), F.col("__done").alias("c"))
+    return F.struct(vft.alias("vft"), F.coalesce("source", F.lit("\U0010ffff")).alias("s"), F.col("__rank").alias("r"), F.col("__row.doc_id").alias("d"), F.col("__done").alias("c"))
 
 
 def _finish(repeat: Column) -> Column:
