@@ -3,8 +3,9 @@
 The base figures of a text (words, characters in words, symbols, repeated lines, words in
 repeated 5-word windows) are part of the result, so they are always measured. The verdict goes
 through rules over the text; each rule runs only on documents that passed the ones before it.
-On a sample each rule's time a document and its rejection rate are estimated, and the rules run
-in the order of rejections per second. The order changes the time, never the verdict: a
+On a sample of rows that pass the base test each rule's time and the sets of rules that reject a
+document are found; the next rule is always the one with most rejections per second among what the
+rules before it leave. The order changes the time, never the verdict: a
 document is kept if no rule rejects it.
 
 Defined results: a null or empty text has no words and fails; a text of any length is read
@@ -15,6 +16,7 @@ passed on and columns named like an output are replaced; an empty table gives an
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -23,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import as_bytes, chunks, prepare
 
@@ -123,46 +127,61 @@ def _read(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
             yield batch, texts, [measure(t, int(c)) for t, c in zip(texts, chars, strict=True)]
 
 
-def estimate(docs: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) of each rule on a sample, measured in a task."""
-    prepare(docs.sparkSession)
+def base_fails(stats: tuple) -> bool:
+    return stats[0] < MIN_WORDS or 100 * stats[4] > MAX_REPEAT_PERCENT * stats[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected, n = [0.0] * len(rules), [0] * len(rules), 0
-        for _, texts, stats in _read(batches, text):
-            n += len(texts)
-            for k, rule in enumerate(rules):
-                began = time.perf_counter()
-                rejected[k] += sum(bool(rule.rejects(t, s)) for t, s in zip(texts, stats, strict=True))
-                spent[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "spent": spent, "rejected": rejected, "n": [n] * len(rules)})
 
-    sample = docs.select(text).sample(0.2, seed=7).limit(rows).coalesce(1)
-    found = sample.mapInArrow(run, "rule long, spent double, rejected long, n long").collect()  # a row a rule and task
-    out = []
-    for k, rule in enumerate(rules):
-        own = [r for r in found if r["rule"] == k]
-        n = max(1, sum(r["n"] for r in own))
-        out.append((rule.name, sum(r["spent"] for r in own) / n, sum(r["rejected"] for r in own) / n))
-    return out
+def estimate(docs: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[float], dict[int, int]]:
+    """(seconds a document of each rule, documents by the set of rules that reject them, as a bit mask) over the rows of a sample that pass the base test.
 
+    About `rows` rows are drawn by a hash over the whole table and measured in the tasks that read
+    them; each task gives a row for each mask it has seen, of at most 2^rules.
+    """
+    prepare(docs.sparkSession)
 
-def ordered(rules, costs: list[tuple[str, float, float]]) -> tuple[Rule, ...]:
-    """Rules by rejections per second, the best first."""
-    gain = {name: share / max(spent, 1e-9) for name, spent, share in costs}
-    return tuple(sorted(rules, key=lambda r: -gain[r.name]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent, masks = [0.0] * len(rules), Counter()
+        for _, texts, stats in _read(batches, text):
+            for t, s in zip(texts, stats, strict=True):
+                if base_fails(s):
+                    continue
+                mask = 0
+                for k, rule in enumerate(rules):
+                    began = time.perf_counter()
+                    mask |= bool(rule.rejects(t, s)) << k
+                    spent[k] += time.perf_counter() - began
+                masks[mask] += 1
+        yield pa.RecordBatch.from_pydict({"key": list(range(-len(rules), 0)) + list(masks), "value": spent + [float(n) for n in masks.values()]}, pa.schema([("key", pa.int64()), ("value", pa.float64())]))
+
+    share = min(1.0, rows / max(1, docs.count()))
+    drawn = docs.select(text).filter(F.pmod(F.xxhash64(F.lit(7), F.monotonically_increasing_id()), F.lit(1 << 40)) < int(share * (1 << 40)))
+    found = {r["key"]: r["value"] for r in drawn.mapInArrow(run, "key long, value double").groupBy("key").agg(F.sum("value").alias("value")).collect()}  # at most rules + 2^rules rows
+    masks = {k: int(v) for k, v in found.items() if k >= 0}
+    n = max(1, sum(masks.values()))
+    return [found.get(k - len(rules), 0.0) / n for k in range(len(rules))], masks
+
+
+def ordered(rules, seconds: list[float], masks: dict[int, int]) -> tuple[Rule, ...]:
+    """Rules one after the other, each time the one with most rejections per second among the documents that the rules before leave."""
+    left, out = list(range(len(rules))), []
+    while left:
+        gone = sum(1 << k for k in out)
+        gain = {k: sum(n for mask, n in masks.items() if not mask & gone and mask >> k & 1) / max(seconds[k], 1e-9) for k in left}
+        out.append(max(left, key=lambda k: (gain[k], -seconds[k], -k)))
+        left.remove(out[-1])
+    return tuple(rules[k] for k in out)
 
 
 def cascade(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the figures of STATS, base_failed, and kept: neither the base nor any rule rejects it."""
-    in_order = ordered(rules, estimate(docs, rules, text, sample_rows))
+    in_order = ordered(rules, *estimate(docs, rules, text, sample_rows))
     base = docs.drop(*STATS, "base_failed", "kept")
     names = base.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"{s} long" for s in STATS), "base_failed boolean", "kept boolean"])
+    schema = StructType([*base.schema.fields, *StructType.fromDDL(", ".join([*(f"{s} long" for s in STATS), "base_failed boolean", "kept boolean"])).fields])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, stats in _read(batches, text):
-            failed = [s[0] < MIN_WORDS or 100 * s[4] > MAX_REPEAT_PERCENT * s[0] for s in stats]
+            failed = [base_fails(s) for s in stats]
             alive = [i for i, f in enumerate(failed) if not f]
             for rule in in_order:  # only the survivors of the rules before
                 alive = [i for i in alive if not rule.rejects(texts[i], stats[i])]
