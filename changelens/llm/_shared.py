@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,9 +28,11 @@ ROOT = Path(__file__).resolve().parents[2]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is configured (local runs)."""
+    """The folder that driver and executors share; a temporary one where none is configured and all run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="changelens-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -52,6 +55,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm, shared = df.sparkSession._jvm, shared_dir(df.sparkSession)
+    for file in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if jvm.org.apache.hadoop.fs.Path(shared).getName() in str(path.getParent()):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Shuffle files go as soon as the query that made them has ended: for steps that each read what the one before has written."""
