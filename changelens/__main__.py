@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> None:
         found.groupBy("status").count().orderBy("status").show()
     elif args.command == "analytics":
         tables = {n: sources.read_table(spark, args.store, n) for n in ("competitors", "changes")}
-        for name, report in analytics.analytics_payload(tables["competitors"], tables["changes"], args.as_of).items():
+        for name, report in analytics.analytics_payload(tables["competitors"], tables["changes"], args.as_of, keep=keep).items():
             print(name)
             report.show(50, truncate=False)
     else:

@@ -142,7 +142,9 @@ def matches(c: Column | str, pattern: str) -> Column:
 def words_of(c: Column | str, names: tuple[str, ...]) -> Column:
     """The words of a folded text that matches of the named patterns need: found in one pass, for all patterns."""
     needed = sorted({w for n in names for w in NEEDS[n]})
-    return F.array_intersect(F.split(F.lower(_col(c)), "[^a-z0-9]+"), F.array(*map(F.lit, needed)))
+    # Of the letters beyond ASCII that patterns take for one of a-z, folded texts keep the two Turkish ones.
+    plain = F.lower(F.translate(_col(c), "\u0130\u0131", "ii"))
+    return F.array_intersect(F.split(plain, "[^a-z0-9]+"), F.array(*map(F.lit, needed)))
 
 
 def if_words(words: Column | str, name: str, found: Column, otherwise: Column) -> Column:

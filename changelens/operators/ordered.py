@@ -24,12 +24,13 @@ def _at(at: str) -> Column:
 
 
 def sliced(rows: DataFrame, key: str, at: str, slices: int = SLICES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """rows with the number of their slice of time: 0 but for hot keys."""
+    """rows with the number of their slice of time, 0 but for hot keys; as they are where no key is hot. One small job tells."""
     counts = rows.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.filter(F.col("n") > max(float(hot_rows), total * HOT_SHARE)).select("__key")
-    if hot.limit(1).count() == 0:
-        return rows.withColumn(SLICE, F.lit(0))
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    least = max(float(hot_rows), total * HOT_SHARE)
+    if most <= least:
+        return rows
+    hot = counts.filter(F.col("n") > least).select("__key")
     marked = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
     shares = F.array(*(F.lit(k / slices) for k in range(1, slices)))
     bounds = marked.groupBy(F.col(key).alias("__key")).agg(F.percentile_approx(_at(at), shares, 1_000).alias("__bounds"))
@@ -41,9 +42,16 @@ def _order(at: str, id: str) -> list[Column]:
     return [F.asc(at), F.asc(id)]
 
 
-def lagged(rows: DataFrame, columns: list[str], key: str, at: str, id: str, prefix: str = "previous_", **options) -> DataFrame:
-    """rows with <prefix><column>: the value of the row before of the same key, by (at, id); null for the first."""
-    cut = sliced(rows, key, at, **options)
+def lagged(rows: DataFrame, columns: list[str], key: str, at: str, id: str, prefix: str = "previous_", ready: bool = False, **options) -> DataFrame:
+    """rows with <prefix><column>: the value of the row before of the same key, by (at, id); null for the first.
+
+    `ready` rows have been through sliced() already, and keep their slices.
+    """
+    cut = rows if ready else sliced(rows, key, at, **options)
+    if SLICE not in cut.columns:
+        plain = Window.partitionBy(key).orderBy(*_order(at, id))
+        return cut.withColumns({f"{prefix}{c}": F.lag(c).over(plain) for c in columns})
+    extra = [] if ready else [SLICE]
     own = Window.partitionBy(key, SLICE).orderBy(*_order(at, id))
     # A struct tells a carried null from no row before.
     local = cut.withColumns({"__before": F.lag(F.struct(*columns)).over(own), "__first": F.row_number().over(own) == 1})
@@ -51,12 +59,17 @@ def lagged(rows: DataFrame, columns: list[str], key: str, at: str, id: str, pref
     carried = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy("__key").orderBy("__of"))).filter(F.col("__carried").isNotNull()).drop("__last")
     joined = local.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col(SLICE) == F.col("__of")) & F.col("__first"), "left")
     before = F.coalesce("__before", "__carried")
-    return joined.withColumns({f"{prefix}{c}": before[c] for c in columns}).drop("__before", "__first", "__key", "__of", "__carried", SLICE)
+    return joined.withColumns({f"{prefix}{c}": before[c] for c in columns}).drop("__before", "__first", "__key", "__of", "__carried", *extra)
 
 
-def running(rows: DataFrame, sums: dict[str, Column], key: str, at: str, id: str, **options) -> DataFrame:
+def running(rows: DataFrame, sums: dict[str, Column], key: str, at: str, id: str, ready: bool = False, **options) -> DataFrame:
     """rows with, for each name, the running sum of an integer column over the rows of the key up to this one, by (at, id)."""
-    cut = sliced(rows, key, at, **options).withColumns({f"__one_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in sums.items()})
+    cut = rows if ready else sliced(rows, key, at, **options)
+    if SLICE not in cut.columns:
+        plain = Window.partitionBy(key).orderBy(*_order(at, id)).rowsBetween(Window.unboundedPreceding, 0)
+        return cut.withColumns({n: F.sum(F.coalesce(c.cast("long"), F.lit(0))).over(plain) for n, c in sums.items()})
+    extra = [] if ready else [SLICE]
+    cut = cut.withColumns({f"__one_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in sums.items()})
     own = Window.partitionBy(key, SLICE).orderBy(*_order(at, id)).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(F.col(key).alias("__key"), F.col(SLICE).alias("__of")).agg(*(F.sum(f"__one_{n}").alias(f"__all_{n}") for n in sums))
@@ -64,7 +77,7 @@ def running(rows: DataFrame, sums: dict[str, Column], key: str, at: str, id: str
     ahead = ahead.filter(F.greatest(F.lit(-(1 << 62)), *(F.col(f"__ahead_{n}") for n in sums)) > -(1 << 62))  # slices with one before
     local = cut.withColumns({n: F.sum(f"__one_{n}").over(own) for n in sums})
     joined = local.join(ahead, F.col(key).eqNullSafe(F.col("__key")) & (F.col(SLICE) == F.col("__of")), "left")
-    return joined.withColumns({n: F.col(n) + F.coalesce(F.col(f"__ahead_{n}"), F.lit(0)) for n in sums}).drop("__key", "__of", SLICE, *(f"__one_{n}" for n in sums), *(f"__ahead_{n}" for n in sums))
+    return joined.withColumns({n: F.col(n) + F.coalesce(F.col(f"__ahead_{n}"), F.lit(0)) for n in sums}).drop("__key", "__of", *extra, *(f"__one_{n}" for n in sums), *(f"__ahead_{n}" for n in sums))
 
 
 def numbered(rows: DataFrame, name: str, key: str, at: str, id: str, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import lagged, numbered, running
+from .ordered import SLICE, lagged, numbered, running, sliced
 
 
 def latest(snapshots: DataFrame, url: str = "tracked_url_id", at: str = "timestamp", key: str = "id") -> DataFrame:
@@ -21,16 +21,17 @@ def with_previous(snapshots: DataFrame, columns: list[str], url: str = "tracked_
 
 def stored(captures: DataFrame, url: str = "tracked_url_id", at: str = "timestamp", key: str = "id", digest: str = "content_hash") -> DataFrame:
     """Captures that are stored: those whose hash is not that of the one before; touched_at is the last time the same content was seen."""
-    points = stored_points(captures.select(url, at, key, digest), url, at, key, digest)
+    points = stored_points(captures.select(url, at, key, digest), url, at, key, digest).drop(SLICE)
     return captures.join(points.select(F.col(url).alias("__url"), F.col(key).alias("__key"), "touched_at"), F.col(url).eqNullSafe(F.col("__url")) & (F.col(key) == F.col("__key"))).drop("__url", "__key")
 
 
-def stored_points(captures: DataFrame, url: str, at: str, key: str, digest: str) -> DataFrame:
-    """(url, at, key, digest, touched_at) of the captures that are stored. Only these narrow columns are sorted."""
-    own = [url, at, key, digest]
-    before = lagged(captures.select(*own, F.lit(True).alias("__there")), [digest, "__there"], url, at, key)
+def stored_points(captures: DataFrame, url: str, at: str, key: str, digest: str, keep=lambda df: df) -> DataFrame:
+    """(url, at, key, digest, touched_at, slice) of the captures that are stored. Only these narrow columns are sorted; `keep` cuts their plan between the steps."""
+    cut = keep(sliced(captures, url, at))
+    own = [url, at, key, digest, *([SLICE] if SLICE in cut.columns else [])]
+    before = lagged(cut.select(*own, F.lit(True).alias("__there")), [digest, "__there"], url, at, key, ready=True)
     new = F.col("previous___there").isNull() | ~F.col(digest).eqNullSafe(F.col(f"previous_{digest}"))
-    runs = running(before.select(*own, new.alias("__new")), {"__run": F.col("__new").cast("int")}, url, at, key)
+    runs = running(keep(before).select(*own, new.alias("__new")), {"__run": F.col("__new").cast("int")}, url, at, key, ready=True)
     seen = runs.groupBy(url, "__run").agg(F.min_by(F.struct(*own), F.struct(at, key)).alias("__point"), F.max(at).alias("touched_at"))
     return seen.select("__point.*", "touched_at")
 

@@ -97,14 +97,111 @@ def top_competitors(competitors: DataFrame, changes: DataFrame, limit: int = 5)
     return grouped.orderBy(F.desc("changes"), "competitor_id").limit(limit)
 
 
-def analytics_payload(competitors: DataFrame, changes: DataFrame, as_of, days: int = 30) -> dict[str, DataFrame]:
-    """All reports over the same changes, by name."""
+#: Reports of a bundle and the column that each is grouped by.
+BUNDLE = {"categories": "category", "severities": "severity", "timeline": "day", "noise_reasons": "noise_reason", "competitors": "competitor_id"}
+
+
+def bundle(changes: DataFrame, as_of, days: int = 30) -> DataFrame:
+    """All counts of the dashboard in one scan of changes, by grouping sets: (report, key, total, noise, meaningful, high, meaningful_high, last_*).
+
+    report `totals` has one row; the others have a row for each value of their column, as text.
+    last_* count the changes of the last `days` days, week_* those of the last seven.
+    """
+    within = lambda n: F.col("detected_at") >= _at(as_of) - F.make_dt_interval(days=F.lit(n))
+    rows = changes.select(
+        day_bucket(F.col("detected_at")).cast("string").alias("day"), "category", "severity", "noise_reason", F.col("competitor_id").cast("string").alias("competitor_id"),
+        F.col("is_noise").alias("noise"), _high().alias("high"), within(days).alias("last"), within(7).alias("week"),
+    )
+    columns = list(BUNDLE.values())
+    grouped = rows.groupingSets([[], *([c] for c in columns)], *columns)
+    kept = ~F.col("noise")
+    counts = {
+        "total": F.lit(True), "noise": F.col("noise"), "meaningful": kept, "high": F.col("high"), "meaningful_high": kept & F.col("high"), "last_total": F.col("last"), "last_meaningful": F.col("last") & kept,
+        "last_meaningful_high": F.col("last") & kept & F.col("high"), "week_meaningful": F.col("week") & kept, "week_meaningful_high": F.col("week") & kept & F.col("high"),
+    }
+    found = grouped.agg(F.grouping_id(*columns).alias("__set"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    # Bit k from the left of the set's number is 0 where column k is grouped by.
+    number = {name: (1 << len(columns)) - 1 - (1 << (len(columns) - 1 - k)) for k, name in enumerate(BUNDLE)}
+    report, key = F.lit("totals"), F.lit(None).cast("string")
+    for name, column in BUNDLE.items():
+        own = F.col("__set") == number[name]
+        report, key = F.when(own, name).otherwise(report), F.when(own, F.col(column)).otherwise(key)
+    return found.select(report.alias("report"), key.alias("key"), *counts)
+
+
+def analytics_payload(competitors: DataFrame, changes: DataFrame, as_of, days: int = 30, keep=lambda df: df) -> dict[str, DataFrame]:
+    """All reports over the same changes, by name, from one bundle; `keep` (a checkpoint, or a written table) makes its scan run once for all of them."""
+    counts = keep(bundle(changes, as_of, days))
+    of = lambda report: counts.filter(F.col("report") == report)
+    n = lambda report, column, name: of(report).filter(F.col(column) > 0).select(F.col("key").alias(name), F.col(column).alias("n"))
+    order = F.array_position(F.array(*map(F.lit, SEVERITY_ORDER)), F.col("severity"))
+    low = F.col("meaningful") > 0
+    found = of("competitors").select(F.col("key").cast("long").alias("competitor_id"), "meaningful", F.col("meaningful_high").alias("h"), F.lit(True).alias("__any"))
+    # A competitor with noise only is left out, one without any change counts 0.
+    top = competitors.select(F.col("id").alias("competitor_id"), "name").join(found, "competitor_id", "left").filter(F.col("__any").isNull() | low)
     return {
-        "stats": dashboard_stats(changes, as_of), "categories": category_distribution(changes, as_of, days), "severities": severity_distribution(changes),
-        "timeline": activity_timeline(changes, as_of, days), "noise_reasons": noise_reason_breakdown(changes), "top_competitors": top_competitors(competitors, changes),
+        "stats": of("totals").select(
+            F.col("total").alias("total_changes"), F.col("noise").alias("noise_changes"), F.col("high").alias("high_impact_total"), F.col("week_meaningful").alias("changes_this_week"), F.col("week_meaningful_high").alias("high_impact_this_week"),
+            noise_reduction(F.col("noise"), F.col("total")).alias("noise_reduction"),
+        ),
+        "categories": n("categories", "last_meaningful", "category").orderBy(F.desc("n"), "category"),
+        "severities": n("severities", "meaningful", "severity").orderBy(F.when(order == 0, 99).otherwise(order), "severity"),
+        "timeline": of("timeline").filter("last_total > 0").select(F.col("key").cast("date").alias("day"), F.col("last_total").alias("total"), F.col("last_meaningful").alias("meaningful"), F.col("last_meaningful_high").alias("high_impact")).orderBy("day"),
+        "noise_reasons": n("noise_reasons", "noise", "noise_reason").filter(F.col("noise_reason").isNotNull()).orderBy(F.desc("n"), "noise_reason").limit(12),
+        "top_competitors": top.select("competitor_id", "name", F.coalesce("meaningful", F.lit(0)).alias("changes"), F.coalesce("h", F.lit(0)).alias("high_impact")).orderBy(F.desc("changes"), "competitor_id").limit(5),
     }
 
 
+#: What a daily rollup is grouped by.
+ROLLUP = ("day", "competitor_id", "category", "severity", "is_noise", "noise_reason")
+
+
+def daily_rollup(changes: DataFrame) -> DataFrame:
+    """Counts (n, high) of changes by day, competitor, category, severity and noise reason: every report over whole days is a sum of them."""
+    return changes.groupBy(day_bucket(F.col("detected_at")).alias("day"), *ROLLUP[1:]).agg(F.count(F.lit(1)).alias("n"), F.count_if(_high()).alias("high"))
+
+
+def rollup_after(rollup: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """A rollup after changes were added and others removed (with their competitor, say); only these are read."""
+    parts = [rollup]
+    for changes, sign in ((added, 1), (removed, -1)):
+        if changes is not None:
+            parts.append(daily_rollup(changes).withColumns({c: F.col(c) * sign for c in ("n", "high")}))
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union.groupBy(*ROLLUP).agg(F.sum("n").alias("n"), F.sum("high").alias("high")).filter("n <> 0")
+
+
+def rollup_window(rollup: DataFrame, changes: DataFrame, start, end=None) -> DataFrame:
+    """Rollup rows of the changes from `start` to `end`, both counted: whole days from the rollup, the days of the two ends from the changes of these days."""
+    at, first = F.col("detected_at"), day_bucket(_at(start))
+    whole, ends = F.col("day") > first, (day_bucket(at) == first) & (at >= _at(start))
+    if end is not None:
+        last = day_bucket(_at(end))
+        whole &= F.col("day") < last
+        ends = day_bucket(at).isin(first, last) & (at >= _at(start)) & (at <= _at(end))
+        edge = changes.filter((at >= first.cast("timestamp_ntz")) & (at <= _at(end)) & ends)
+    else:
+        edge = changes.filter((at >= _at(start)) & ends)
+    return rollup.filter(whole).unionByName(daily_rollup(edge))
+
+
+def rolled_funnel(rows: DataFrame) -> DataFrame:
+    """The funnel of rollup rows."""
+    kept = ~F.col("is_noise")
+    total = lambda c, v="n": F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
+    counts = rows.agg(total(F.lit(True)).alias("raw_changes"), total(F.col("is_noise")).alias("noise_changes"), total(kept).alias("meaningful_changes"), total(kept, "high").alias("high_impact_changes"))
+    return counts.withColumn("noise_reduction", noise_reduction(F.col("noise_changes"), F.col("raw_changes")))
+
+
+def rolled(rows: DataFrame, by: str) -> DataFrame:
+    """(by, total, meaningful, high_impact) of rollup rows, for any column of ROLLUP."""
+    kept = ~F.col("is_noise")
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
+    return rows.groupBy(by).agg(F.sum("n").alias("total"), total(kept, "n").alias("meaningful"), total(kept, "high").alias("high_impact"))
+
+
 def _source_url() -> Column:
     return F.coalesce(F.nullif(F.col("source_url"), F.lit("")), F.col("change_url"), F.lit(""))
 

@@ -12,7 +12,7 @@ from ..functions.text import content_hash, folded, word_count
 from ..operators.diff import diff_pairs
 from ..operators.html import blocks_to_text, text_blocks, with_blocks, with_page
 from ..operators.narrate import assemble, budgeted, narrate
-from ..operators.ordered import lagged
+from ..operators.ordered import SLICE, lagged
 from ..operators.snapshots import stored_points
 from ..schema import NARRATE_MIN_SCORE
 from ..sources.store import BUCKETS, KeyedTable, keyed
@@ -72,7 +72,7 @@ def change_key(url: Column, before: Column, after: Column, seq: Column) -> Colum
 _POINT = "id long, tracked_url_id long, timestamp timestamp_ntz, content_hash string"
 
 
-def placed(facts: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def placed(facts: DataFrame, stored: DataFrame | None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(captures, points) of facts (id, tracked_url_id, timestamp, content_hash) after what is stored; narrow rows only.
 
     captures: each with status and previous_id, the stored capture it is compared with. points: each
@@ -89,8 +89,8 @@ def placed(facts: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataF
     # The last stored row stands first in its URL, so the first new capture is compared with it.
     head_rows = heads.select(F.col("head.id").alias("id"), "tracked_url_id", F.col("head.timestamp").alias("timestamp"), F.col("head.content_hash").alias("content_hash"), F.lit(True).alias("known"))
     line = met.filter(~late).select(*own, F.lit(False).alias("known")).unionByName(head_rows)
-    points = stored_points(line.select(*own), "tracked_url_id", "timestamp", "id", "content_hash")
-    points = lagged(points, ["id"], "tracked_url_id", "timestamp", "id")
+    points = stored_points(line.select(*own), "tracked_url_id", "timestamp", "id", "content_hash", keep)
+    points = lagged(keep(points), ["id"], "tracked_url_id", "timestamp", "id", ready=True).drop(SLICE)
     points = points.join(head_rows.select("tracked_url_id", "id", "known"), ["tracked_url_id", "id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     marks = points.filter(~F.col("known")).select("tracked_url_id", "id", "previous_id", F.lit(True).alias("new"))
     judged_ = met.join(marks, ["tracked_url_id", "id"], "left")
@@ -118,7 +118,7 @@ def scan(
         read = read.observe(observation, F.count(F.lit(1)).alias("captures"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     facts = keep(read)
     good = facts.filter(F.col("error").isNull())
-    found, points = placed(good, stored)
+    found, points = placed(good, stored, keep)
     found, points = keep(found), keep(points)
 
     new = points.filter(~F.col("known"))

@@ -13,9 +13,9 @@ from ..functions import urls
 from ..operators import narrate
 from ..sources import captures as sources
 from ..sources import edits
-from . import evaluate, pipeline
+from . import analytics, evaluate, pipeline
 from .queries import (
-    CAPTURE_LOG, CHANGE_LOG, CHANGE_ROWS, _pages, _read, capture_log, change_log, change_query, competitors, q, query, sql_fold, sql_severity,
+    AS_OF, CAPTURE_LOG, CHANGE_LOG, CHANGE_ROWS, _pages, _read, capture_log, change_log, change_query, competitors, q, query, sql_fold, sql_severity,
 )
 
 # ---------------------------------------------------------------- archives
@@ -155,6 +155,62 @@ def scan_changes(spark, sf_dir):
     return got.changes.select("tracked_url_id", "snapshot_id", "seq", "change_type", "category", "location", "before", "after", "noise_reason", "relevance_score", "severity", "change_key")
 
 
+_CUTOFF = "2024-01-12 00:00:00"
+
+
+@query(
+    f"""WITH {CAPTURE_LOG}, n AS (SELECT *, row_number() OVER w = 1 OR content_hash IS DISTINCT FROM lag(content_hash) OVER w AS new, row_number() OVER w = 1 AS first FROM cap WINDOW w AS (PARTITION BY tracked_url_id ORDER BY timestamp, id)),
+    r AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY tracked_url_id ORDER BY timestamp, id) AS run FROM n),
+    p AS (SELECT tracked_url_id, run + 1 AS run, min_by(id, (timestamp, id)) AS previous_id FROM r GROUP BY tracked_url_id, run)
+    SELECT id, tracked_url_id, CASE WHEN first THEN 'baseline' WHEN new THEN 'changed' ELSE 'unchanged' END AS status, CASE WHEN new THEN previous_id END AS previous_id FROM r LEFT JOIN p USING (tracked_url_id, run)"""
+)
+def incremental_scan(spark, sf_dir):
+    """Captures in two scans, the second against what the first stored: each has the status and the predecessor that one scan of all would give."""
+    log = capture_log(spark, sf_dir).select("id", "tracked_url_id", "timestamp", "content_hash")
+    early = F.col("timestamp") < F.lit(_CUTOFF).cast("timestamp_ntz")
+    first, points = pipeline.placed(log.filter(early), None)
+    points = points.persist()  # stands for the stored table
+    second, _ = pipeline.placed(log.filter(~early), points.select("id", "tracked_url_id", "timestamp", "content_hash", "touched_at"))
+    return first.unionByName(second).select("id", "tracked_url_id", "status", "previous_id")
+
+
+@query(
+    f"""WITH {CHANGE_LOG}, c AS (SELECT *, CAST(CAST(detected_at AS DATE) AS VARCHAR) AS day, CAST(competitor_id AS VARCHAR) AS cid, relevance_score >= 70 AS h, detected_at >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY AS last, detected_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS week FROM changes),
+    u AS (SELECT 'totals' AS report, CAST(NULL AS VARCHAR) AS key, * FROM c UNION ALL SELECT 'categories', category, * FROM c UNION ALL SELECT 'severities', severity, * FROM c UNION ALL SELECT 'timeline', day, * FROM c
+        UNION ALL SELECT 'noise_reasons', noise_reason, * FROM c UNION ALL SELECT 'competitors', cid, * FROM c)
+    SELECT report, key, count(*) AS total, count(*) FILTER (is_noise) AS noise, count(*) FILTER (NOT is_noise) AS meaningful, count(*) FILTER (h) AS high, count(*) FILTER (NOT is_noise AND h) AS meaningful_high, count(*) FILTER (last) AS last_total,
+        count(*) FILTER (last AND NOT is_noise) AS last_meaningful, count(*) FILTER (last AND NOT is_noise AND h) AS last_meaningful_high, count(*) FILTER (week AND NOT is_noise) AS week_meaningful,
+        count(*) FILTER (week AND NOT is_noise AND h) AS week_meaningful_high FROM u GROUP BY report, key"""
+)
+def analytics_bundle(spark, sf_dir):
+    return analytics.bundle(change_log(spark, sf_dir), AS_OF, 10)
+
+
+@query(
+    f"""WITH {CHANGE_LOG} SELECT category, count(*) AS total, count(*) FILTER (NOT is_noise) AS meaningful, count(*) FILTER (NOT is_noise AND relevance_score >= 70) AS high_impact
+    FROM changes WHERE detected_at BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-20 18:00:00' AND competitor_id % 5 <> 0 GROUP BY category"""
+)
+def rollup_window(spark, sf_dir):
+    """Counts of a period from a rollup that was built of half of the changes, got the other half, and lost every fifth competitor."""
+    log = change_log(spark, sf_dir)
+    first, second, gone = log.filter("id % 2 = 0"), log.filter("id % 2 = 1"), F.col("competitor_id") % 5 == 0
+    rollup = analytics.rollup_after(analytics.daily_rollup(first), second, log.filter(gone))
+    return analytics.rolled(analytics.rollup_window(rollup, log.filter(~gone), "2024-01-05 06:30:00", "2024-01-20 18:00:00"), "category")
+
+
+@query(
+    f"""WITH {CHANGE_LOG}, k AS (SELECT id, competitor_id, is_noise, relevance_score, CASE WHEN id % 11 = 0 THEN 'failed' WHEN id % 13 = 0 THEN 'rate_limited' ELSE 'ok' END AS said,
+        row_number() OVER (PARTITION BY competitor_id, is_noise ORDER BY relevance_score DESC, id) AS rk FROM changes),
+    d AS (SELECT competitor_id, min(rk) AS bad FROM k WHERE NOT is_noise AND relevance_score >= 40 AND rk <= 5 AND said <> 'ok' GROUP BY 1)
+    SELECT id, CASE WHEN is_noise OR relevance_score < 40 OR rk > bad THEN 'skipped' WHEN rk <= 5 THEN said ELSE 'budget' END AS llm_status FROM k LEFT JOIN d USING (competitor_id)"""
+)
+def budget_gate_states(spark, sf_dir):
+    """The budget gate with a provider that fails or is throttled for some changes: after that, the rest of the page is skipped."""
+    said = F.when(F.col("id") % 11 == 0, "failed").when(F.col("id") % 13 == 0, "rate_limited").otherwise("ok")
+    log = change_log(spark, sf_dir).withColumn("said", said)
+    return narrate.budgeted(log, ["competitor_id"], 5, order="id", answer="said").select("id", "llm_status")
+
+
 # ---------------------------------------------------------------- narrated payloads
 
 

@@ -123,6 +123,21 @@ def save_report(report: DataFrame, text: str, path: str) -> None:
     report.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/text")
 
 
-def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A table of a relational store, where its driver is on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None, rows_per_part: int = 1_000_000, **options: str) -> DataFrame:
+    """A table of a relational store, where its driver is on the class path; filters and columns are pushed to the store.
+
+    With `key`, a whole-number column, the table is read in parts of about rows_per_part rows, by
+    ranges between the smallest and the largest key, which the store is asked for first.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is not None:
+        low, high, n = reader.option("query", f'SELECT MIN("{key}") AS lo, MAX("{key}") AS hi, COUNT(*) AS n FROM {name}').load().first()
+        if n and low is not None and high > low:
+            parts = max(1, min(-(-int(n) // rows_per_part), int(high) - int(low) + 1))
+            reader = reader.option("partitionColumn", key).option("lowerBound", int(low)).option("upperBound", int(high) + 1).option("numPartitions", parts)
+    return reader.option("dbtable", name).load()
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", connections: int = 8, **options: str) -> None:
+    """Rows to a table of a relational store, over at most so many connections at once."""
+    df.write.format("jdbc").options(url=url, dbtable=name, numPartitions=str(connections), **options).mode(mode).save()

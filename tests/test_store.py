@@ -154,11 +154,13 @@ def test_windows_of_a_hot_key_equal_plain_ones(spark):
     assert ordered.lagged(df.limit(0), ["v"], "k", "at", "id").count() == 0
 
 
-def test_a_hot_key_is_spread_over_tasks(spark):
+def test_a_hot_key_is_spread_over_tasks(spark, monkeypatch):
     df = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id % 5000 END AS k", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS at", "id % 7 AS v")
+    assert ordered.SLICE not in ordered.sliced(df.filter("k >= 0"), "k", "at", hot_rows=1_000).columns
     cut = ordered.sliced(df, "k", "at", hot_rows=1_000, slices=16)
     sizes = [r.n for r in cut.groupBy("k", ordered.SLICE).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert max(sizes) < 1_200 and sum(sizes) == 30_000
+    monkeypatch.setattr(ordered.sliced, "__defaults__", (16, 1_000))
     points = snapshots.stored(df.selectExpr("id", "k AS tracked_url_id", "at AS timestamp", "cast(v DIV 3 AS string) AS content_hash"))
     expected = 0
     last = {}
