@@ -1,4 +1,4 @@
-"""python -m changelens <command>: init, add, list, evaluate, scan, analytics, digest over Parquet tables."""
+"""python -m changelens <command>: init, reset, seed, add, list, evaluate, scan, graph, analytics, digest over Parquet tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans import analytics, digest, evaluate, pipeline
+from .schema import TABLES
 from .sources import captures as sources
 from .sources import edits
 
@@ -15,7 +16,7 @@ from .sources import edits
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="changelens")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, arguments in (("init", ["store"]), ("add", ["store", "name", "website_url", "as_of"]), ("list", ["store"]), ("evaluate", ["pairs", "out"]), ("scan", ["captures", "store"]), ("analytics", ["store", "as_of"]), ("digest", ["store", "start", "end"])):
+    for name, arguments in (("init", ["store"]), ("reset", ["store"]), ("seed", ["store", "captures"]), ("graph", []), ("add", ["store", "name", "website_url", "as_of"]), ("list", ["store"]), ("evaluate", ["pairs", "out"]), ("scan", ["captures", "store"]), ("analytics", ["store", "as_of"]), ("digest", ["store", "start", "end"])):
         own = commands.add_parser(name)
         for a in arguments:
             own.add_argument(a)
@@ -25,6 +26,21 @@ def main(argv: list[str] | None = None) -> None:
     keep = (lambda df: df.checkpoint()) if shared else (lambda df: df.persist())
     if args.command == "init":
         sources.create_tables(spark, args.store)
+    elif args.command == "reset":
+        for name in TABLES:
+            for at in (f"{args.store}/{name}", f"{args.store}/{name}__merged", f"{args.store}/{name}__new"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        sources.create_tables(spark, args.store)
+    elif args.command == "seed":
+        # Captures day by day: a baseline, then what changed, each through the whole pipeline.
+        captures = spark.read.parquet(args.captures)
+        names = sources.read_table(spark, args.store, "competitors")
+        for (day,) in captures.select(F.to_date("timestamp").alias("day")).distinct().orderBy("day").collect():
+            pipeline.scan_store(captures.filter(F.to_date("timestamp") == day), names, pipeline.Stores.at(spark, args.store), keep)
+            print(day)
+    elif args.command == "graph":
+        print("\n".join(f"{step}" for step in pipeline.STEPS))
     elif args.command == "add":
         wanted = spark.createDataFrame([(args.name, args.website_url, "")], "name string, website_url string, description string")
         row = edits.new_competitors(sources.read_table(spark, args.store, "competitors"), wanted, args.as_of).first()

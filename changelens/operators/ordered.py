@@ -12,15 +12,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Keys with more than this share of all rows, and with more rows than this, are cut into so many slices.
 HOT_SHARE, HOT_ROWS, SLICES = 1 / 1_000, 10_000, 64
 SLICE = "__slice"
 
 
-def _at(at: str) -> Column:
-    """Time as a number that quantiles can be taken of; null stands before all."""
-    return F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 62)))
+def _at(rows: DataFrame, at: str) -> Column:
+    """Time, or a number, as a number that quantiles can be taken of; null stands before all."""
+    value = F.col(at).cast("long") if isinstance(rows.schema[at].dataType, IntegralType) else F.unix_micros(F.col(at).cast("timestamp"))
+    return F.coalesce(value, F.lit(-(1 << 62)))
 
 
 def sliced(rows: DataFrame, key: str, at: str, slices: int = SLICES, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -33,9 +35,9 @@ def sliced(rows: DataFrame, key: str, at: str, slices: int = SLICES, hot_rows: i
     hot = counts.filter(F.col("n") > least).select("__key")
     marked = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
     shares = F.array(*(F.lit(k / slices) for k in range(1, slices)))
-    bounds = marked.groupBy(F.col(key).alias("__key")).agg(F.percentile_approx(_at(at), shares, 1_000).alias("__bounds"))
+    bounds = marked.groupBy(F.col(key).alias("__key")).agg(F.percentile_approx(_at(rows, at), shares, 1_000).alias("__bounds"))
     met = rows.join(F.broadcast(bounds), F.col(key).eqNullSafe(F.col("__key")), "left")
-    return met.withColumn(SLICE, F.coalesce(F.size(F.filter("__bounds", lambda b: b < _at(at))), F.lit(0))).drop("__key", "__bounds")
+    return met.withColumn(SLICE, F.coalesce(F.size(F.filter("__bounds", lambda b: b < _at(rows, at))), F.lit(0))).drop("__key", "__bounds")
 
 
 def _order(at: str, id: str) -> list[Column]:

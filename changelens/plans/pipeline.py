@@ -69,6 +69,11 @@ def change_key(url: Column, before: Column, after: Column, seq: Column) -> Colum
     return F.sha2(F.concat_ws("|", url.cast("string"), before.cast("string"), after.cast("string"), seq.cast("string")).cast("binary"), 256)
 
 
+#: What a scan does, in order.
+STEPS = (
+    "read: parse each new page once, whole; a page that can't be read is failed", "place: each capture after what is stored of its URL: late, baseline, unchanged or changed", "align: blocks of changed captures with those before",
+    "judge: noise rules, classes, scores", "gate: the best changes of a page, within the budget", "narrate: templates, or a narrator that is passed in", "assemble: funnels by page and competitor", "store: keyed merges of changes, records, runs, then snapshots",
+)
 _POINT = "id long, tracked_url_id long, timestamp timestamp_ntz, content_hash string"
 
 

@@ -24,6 +24,7 @@ from ..arrow import spread, with_python
 from ..functions import patterns as P
 from ..functions import payloads, text, urls
 from ..operators import classify, diff, html, narrate, noise, relevance, snapshots
+from ..operators.ordered import lagged
 from . import analytics, digest, evaluate
 
 AS_OF = "2024-01-20 00:00:00"
@@ -134,8 +135,8 @@ def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, before_id): the document before in the same source. Ids only, as a source may hold a third of all texts."""
-    own = Window.partitionBy("source").orderBy("doc_id")
-    return _read(spark, sf_dir, "documents").select("doc_id", F.lag("doc_id").over(own).alias("before_id"))
+    ids = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return lagged(ids, ["doc_id"], "source", "doc_id", "doc_id").select("doc_id", F.col("previous_doc_id").alias("before_id"))
 
 
 def _sql_hex(a: int, n: int) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,19 +43,36 @@ def decode_body(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
 _STAMP = r"/url_(\d+)/(\d{8})T?(\d{6})_([0-9a-f]{1,64})\.html$"
 
 
-def archive_folder(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def _days(since: str | None, until: str | None) -> str:
+    """A pattern of the names of files from one day to another (YYYY-MM-DD), by day up to two months, by month up to ten years; the exact bounds are filters."""
+    if since is None or until is None:
+        return "*.html"
+    first, last = date.fromisoformat(since[:10]), date.fromisoformat(until[:10])
+    if (last - first).days < 62:
+        names = [(first + timedelta(days=k)).strftime("%Y%m%d") for k in range((last - first).days + 1)]
+    else:
+        names = [f"{m // 12:04d}{m % 12 + 1:02d}" for m in range(first.year * 12 + first.month - 1, last.year * 12 + last.month)]
+    return "*.html" if not names or len(names) > 120 else "{" + ",".join(f"{n}*" for n in names) + "}"
+
+
+def archive_folder(spark: SparkSession, path: str, limit: int | None = None, urls: list[int] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
     """Stored bodies url_<id>/<stamp>_<hash12>.html: (path, tracked_url_id, timestamp, hash12, html, body_cut, error).
 
     Times are those of the names; a file with another name has the time it was written. Empty bodies
-    carry an error. With `limit`, html is its first characters and body_cut tells of it.
+    carry an error. With `limit`, html is its first characters and body_cut tells of it. With `urls`,
+    and `since` and `until`, only the folders and files whose names may hold these are listed and
+    read (files with other names are then left out).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", _days(since, until)).load(path if urls is None else [f"{path}/url_{int(u)}" for u in urls])
     part = lambda k: F.nullif(F.regexp_extract("path", _STAMP, k), F.lit(""))
     named = F.try_to_timestamp(F.concat(part(2), part(3)), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
     text = files.select(
         "path", part(1).cast("long").alias("tracked_url_id"), F.coalesce(named, F.col("modificationTime").cast("timestamp_ntz")).alias("timestamp"), part(4).alias("hash12"), decode_body("content", F.lit(None).cast("string")).alias("html")
     )
     cut = text.withColumn("body_cut", F.lit(False)) if limit is None else text.withColumns({"body_cut": F.length("html") > limit, "html": F.left("html", F.lit(limit))})
+    if since is not None and until is not None:
+        cut = cut.filter(F.col("timestamp").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
     return cut.withColumn("error", F.when(F.trim(F.coalesce("html", F.lit(""))) == "", "empty body"))
 
 
@@ -131,7 +149,7 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None,
     """
     reader = spark.read.format("jdbc").options(url=url, **options)
     if key is not None:
-        low, high, n = reader.option("query", f'SELECT MIN("{key}") AS lo, MAX("{key}") AS hi, COUNT(*) AS n FROM {name}').load().first()
+        low, high, n = spark.read.format("jdbc").options(url=url, **options).option("query", f'SELECT MIN("{key}") AS lo, MAX("{key}") AS hi, COUNT(*) AS n FROM {name}').load().first()
         if n and low is not None and high > low:
             parts = max(1, min(-(-int(n) // rows_per_part), int(high) - int(low) + 1))
             reader = reader.option("partitionColumn", key).option("lowerBound", int(low)).option("upperBound", int(high) + 1).option("numPartitions", parts)

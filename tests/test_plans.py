@@ -66,6 +66,11 @@ def test_commands(spark, tmp_path, capsys):
     main(["scan", at, store])
     counts = {name: sources.read_table(spark, store, name).count() for name in ("competitors", "snapshots", "changes", "intelligence", "scan_runs")}
     assert counts["competitors"] == 1 and counts["snapshots"] == 2 and counts["changes"] >= counts["intelligence"] > 0 and counts["scan_runs"] == 1
+    # A replay adds nothing; a reset leaves empty tables, which a seed fills day by day.
+    main(["scan", at, store])
+    again = {name: sources.read_table(spark, store, name).count() for name in counts}
+    assert again == counts
+    main(["graph"])
     main(["list", store])
     main(["analytics", store, "2024-01-04"])
     main(["digest", store, "2024-01-01", "2024-01-04"])
