@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions import urls
+from ..functions import payloads, urls
 from ..operators import narrate
 from ..sources import captures as sources
 from ..sources import edits
 from . import analytics, evaluate, pipeline
 from .queries import (
-    AS_OF, CAPTURE_LOG, CHANGE_LOG, CHANGE_ROWS, _pages, _read, capture_log, change_log, change_query, competitors, q, query, sql_fold, sql_severity,
+    AS_OF, CAPTURE_LOG, CHANGE_LOG, CHANGE_ROWS, _SQL_URLS, _pages, _read, _urls, capture_log, change_log, change_query, competitors, q, query, sql_fold, sql_severity,
 )
 
 # ---------------------------------------------------------------- archives
@@ -281,3 +281,65 @@ def merged_competitors(spark, sf_dir):
     rows = competitors(spark, sf_dir).select("id", "name", "active")
     k = F.col("id")
     return edits.merged(rows, rows.filter(k % 3 == 0).select("id", F.concat(F.lit("N"), k.cast("string")).alias("name"), F.when(k % 6 == 0, ~F.col("active")).alias("active")))
+
+
+# ---------------------------------------------------------------- functions over the tables' own content
+
+
+@query("SELECT event_id, 400 + CAST(floor(value) AS BIGINT) % 110 IN (408, 425, 429, 500, 502, 503, 504) AS again FROM events WHERE value IS NOT NULL")
+def retryable_by_value(spark, sf_dir):
+    """Status codes taken from the values of events."""
+    events = _read(spark, sf_dir, "events").filter(F.col("value").isNotNull())
+    return events.select("event_id", pipeline.is_retryable(F.lit(400) + F.floor("value") % 110).alias("again"))
+
+
+_SQL_VALUES = "v AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(floor(value) AS BIGINT) || '%' WHEN event_id % 3 = 1 THEN 'about ' || CAST(floor(value) AS BIGINT) || ' points' ELSE event_type END AS w FROM events WHERE value IS NOT NULL)"
+
+
+@query(
+    f"""WITH {_SQL_VALUES}, n AS (SELECT event_id, lower(regexp_replace(trim(w), '%+$', '')) AS t, TRY_CAST(nullif(regexp_extract(w, '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) AS x FROM v)
+    SELECT event_id, CASE t WHEN 'noise' THEN 15.0 WHEN 'low' THEN 40.0 WHEN 'medium' THEN 60.0 WHEN 'high' THEN 78.0 WHEN 'critical' THEN 92.0
+        ELSE CASE WHEN x IS NULL THEN 50.0 ELSE greatest(0.0, least(100.0, CASE WHEN x > 0 AND x <= 1 THEN x * 100 ELSE x END)) END END AS score,
+        CASE WHEN x IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, CASE WHEN x > 1 THEN x / 100 ELSE x END)) END AS confidence FROM n"""
+)
+def scores_of_values(spark, sf_dir):
+    """Payload scores and confidences read from the values and types of events, as a narrator may write them."""
+    whole, k = F.floor("value").cast("string"), F.col("event_id") % 3
+    said = F.when(k == 0, F.concat(whole, F.lit("%"))).when(k == 1, F.concat(F.lit("about "), whole, F.lit(" points"))).otherwise(F.col("event_type"))
+    return _read(spark, sf_dir, "events").filter(F.col("value").isNotNull()).select("event_id", payloads.coerce_score(said).alias("score"), payloads.coerce_confidence(said).alias("confidence"))
+
+
+@query(
+    _SQL_URLS + r""", x AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS nl FROM n)
+    SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(nl, '^.*@', ''), ':\d*$', ''), '^\[|\]$', '', 'g')) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM x"""
+)
+def host_and_path(spark, sf_dir):
+    url = urls.normalize_url("raw")
+    return _urls(spark, sf_dir).select("page_id", urls.host(url).alias("host"), urls.path(url).alias("path"))
+
+
+@query(f"WITH {CHANGE_LOG} SELECT id, name, tracking_frequency FROM competitors WHERE active")
+def active_competitors(spark, sf_dir):
+    return analytics.list_competitors(competitors(spark, sf_dir), active_only=True).select("id", "name", "tracking_frequency")
+
+
+_NARROW = r"^[\x00-\x7F\xA0-\xFF]*+\z"
+_META = '<meta charset="windows-1252">'
+
+
+@query(rf"SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND regexp_matches(text, '^[\x00-\x7F\x{{A0}}-\x{{FF}}]*$') AND regexp_matches(text, '[\x{{A0}}-\x{{FF}}]') THEN '{_META}' || text ELSE text END AS out FROM documents")
+def undeclared_bodies(spark, sf_dir):
+    """Bodies whose server declares no charset: single-byte ones, with the charset in the page or nowhere, are read by it or as cp1252."""
+    narrow = F.col("text").rlike(_NARROW) & F.col("text").rlike(r"[\xA0-\xFF]")
+    marked = narrow & (F.col("doc_id") % 3 == 1)
+    text = F.when(marked, F.concat(F.lit(_META), "text")).otherwise(F.col("text"))
+    body = F.when(narrow, F.encode(F.when(narrow, text), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return _read(spark, sf_dir, "documents").select("doc_id", sources.decode_body(body, F.lit(None).cast("string")).alias("out"))
+
+
+@query()
+def repaired_payloads(spark, sf_dir):
+    """Each document as a payload that breaks off at some place, repaired: what is whole of it is there, what is cut is left out."""
+    whole = F.to_json(F.struct("doc_id", "lang", "source", "text"))
+    cut = F.left(whole, (1 + F.pmod(F.col("doc_id") * 7919, F.length(whole))).cast("int"))
+    return _read(spark, sf_dir, "documents").select("doc_id", payloads.extract_json(cut).alias("payload"))

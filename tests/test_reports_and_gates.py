@@ -130,3 +130,16 @@ def test_word_gate_knows_every_letter_that_patterns_take_for_ascii(spark):
         got = df.select(text.if_words(words, name, text.matches("t", pattern), F.lit(False)).alias("gated"), text.matches("t", pattern).alias("plain")).collect()
         assert all(r.gated == r.plain for r in got), name
     assert re.search("introducing", lines[2], re.I)
+
+
+def test_payloads_cut_at_every_length_never_gain_a_value():
+    import json
+
+    from changelens.functions.payloads import find_object
+
+    whole = {"title": "Prices up", "score": 81.5, "text": "one, two, {three}", "kept": True, "last": None}
+    text_ = json.dumps(whole)
+    for n in range(len(text_) + 1):
+        found = find_object(text_[:n])
+        assert found is None or all(k in whole and (whole[k] == v or k == "score") for k, v in found.items())
+    assert find_object(text_) == whole and find_object(text_[:-1]) == whole
