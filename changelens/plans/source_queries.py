@@ -339,7 +339,7 @@ def undeclared_bodies(spark, sf_dir):
 
 @query()
 def repaired_payloads(spark, sf_dir):
-    """Each document as a payload that breaks off at some place, repaired: what is whole of it is there, what is cut is left out."""
+    """Each document as a payload that breaks off at some place, repaired: whole fields are there, a cut one is left out (a first field keeps what there is of it); null where nothing can be read."""
     whole = F.to_json(F.struct("doc_id", "lang", "source", "text"))
     cut = F.left(whole, (1 + F.pmod(F.col("doc_id") * 7919, F.length(whole))).cast("int"))
     return _read(spark, sf_dir, "documents").select("doc_id", payloads.extract_json(cut).alias("payload"))
