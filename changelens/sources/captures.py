@@ -6,7 +6,7 @@ import re
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -76,12 +76,15 @@ def archive_folder(spark: SparkSession, path: str, limit: int | None = None, url
     return cut.withColumn("error", F.when(F.trim(F.coalesce("html", F.lit(""))) == "", "empty body"))
 
 
-def archive_index(rows: DataFrame, limit: int = 40) -> DataFrame:
-    """Index rows (url, timestamp, statuscode, digest as text, an id if they have one) -> captures with status 200, equal neighbours folded, at most |limit| of a URL (the newest where negative), malformed rows skipped."""
+def archive_index(rows: DataFrame, limit: int = 40, observation: Observation | None = None) -> DataFrame:
+    """Index rows (url, timestamp, statuscode, digest as text, an id if they have one) -> captures with status 200, equal neighbours folded, at most |limit| of a URL (the newest where negative), malformed rows skipped; `observation` counts rows and malformed ones in the same pass."""
     n = max(1, min(200, abs(limit)))
     at = F.try_to_timestamp("timestamp", F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
     key = F.col("id") if "id" in rows.columns else F.xxhash64("url", "timestamp", "digest")
-    good = rows.withColumns({"at": at, "status_code": F.col("statuscode").try_cast("int"), "id": key}).filter(F.col("at").isNotNull() & (F.col("status_code") == 200))
+    read = rows.withColumns({"at": at, "status_code": F.col("statuscode").try_cast("int"), "id": key})
+    if observation is not None:
+        read = read.observe(observation, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("at").isNull() | F.col("status_code").isNull()).alias("malformed"))
+    good = read.filter(F.col("at").isNotNull() & (F.col("status_code") == 200))
     order = F.col("at").desc() if limit < 0 else F.col("at").asc()
     nth = F.row_number().over(Window.partitionBy("url").orderBy(order, "id"))
     return collapse_digests(good, at="at").withColumn("__nth", nth).filter(F.col("__nth") <= n).drop("__nth")

@@ -2,9 +2,19 @@
 
 import os
 
+from pyspark.sql import Observation
+
 from changelens.sources import captures as sources
 
 
+def test_malformed_index_rows_are_counted(spark):
+    rows = [("u", "20230101120000", "200", "A"), ("u", "20230102120000", "-", "B"), ("u", "bad", "200", "C"), (None, "20230104120000", "404", "D"), ("u", None, None, None), ("u", "20230105120000", "200", "E")]
+    seen = Observation("index")
+    index = sources.archive_index(spark.createDataFrame(rows, "url string, timestamp string, statuscode string, digest string").coalesce(1), observation=seen)
+    index.write.format("noop").mode("overwrite").save()
+    assert sorted(r.digest for r in index.collect()) == ["A", "E"] and seen.get["rows"] == 6 and seen.get["malformed"] == 3
+
+
 def test_archive_folder(spark, tmp_path):
     files = {"url_1/20240105T101500_abc123abc123.html": "<p>one</p>", "url_1/20240206101500_abc123abc124.html": "<p>" + "x" * 50 + "</p>", "url_2/20240105101500_ff.html": "  ", "url_22/20240105101500_ff.html": "<p>two</p>", "url_1/odd name.html": "<p>odd</p>"}
     for name, body in files.items():
