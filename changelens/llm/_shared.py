@@ -87,8 +87,9 @@ def prepare(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(ROOT))
         sc.addPyFile(at)
         sc._changelens_shipped = True
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows not in spark.conf.getAll:  # a value that the user set stays, also the default one
+        spark.conf.set(rows, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
