@@ -102,7 +102,8 @@ def test_a_narrator_that_raises_fails_alone(spark):
     assert (got[2].title, got[2].llm_status, got[2].llm_error) == (plain[2].title, "failed", "TimeoutError")
 
 
-def test_relational_store_round_trip(spark):
+def test_relational_store_round_trip(spark, tmp_path):
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
     url = "jdbc:derby:memory:changelens;create=true"
     options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     sources.write_jdbc(spark.range(1000).selectExpr("id", "concat('n', id) AS name"), url, "urls", "overwrite", 2, **options)
