@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from changelens.llm._shared import dropped, staged, table
+from changelens.llm._shared import dropped, n_words, staged, table
 
 
 def _rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -37,9 +37,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id; a row without one stays only where all lack it."""
-    keyed = staged(_rows(docs, "doc_id", "text").withColumn("__at", F.monotonically_increasing_id()), "near-rows")
+    keyed = staged(_rows(docs, "doc_id").withColumn("__at", F.monotonically_increasing_id()), "near-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__at").alias("row"))
-    found = simhash.near_duplicates(keyed.select(key.alias("doc_id"), "text"))
+    found = simhash.near_duplicates(keyed.select(key.alias("doc_id"), F.col("__row.text").alias("text")))
     gone = found.filter(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias("__at"))
     return keyed.join(gone, "__at", "left_anti").select("__row.*")
 
@@ -50,7 +50,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A text without words is never taken; null sources are one source, the last; rows that repeat a
     doc_id are documents of their own.
     """
-    return mixing.mixed_stream(_rows(docs, "doc_id", "source", "text")).select("__row.*")
+    words = n_words(F.col("text")).alias("__words")  # counted here, so that each text is carried once
+    return mixing.mixed_stream(_rows(docs, "doc_id", "source", words), size=F.col("__words")).select("__row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
