@@ -60,18 +60,17 @@ class Encoder:
     A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in
     order; each distinct pre-token is merged once and remembered. Those that a batch of texts asks
     for the first time are merged by one call of the library. Added tokens (<|endoftext|>)
-    are read as such, by the library from whole texts, unless `literal` asks for their characters.
+    are read as such, by the library from whole texts.
     """
 
-    def __init__(self, file: str, literal: bool = True) -> None:
+    def __init__(self, file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = literal
         #: A text that holds one of these goes to the tokenizer whole.
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: The same merges for pre-tokens that are cut already.
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = CharDelimiterSplit(_BETWEEN)
@@ -125,7 +124,7 @@ class Encoder:
 def encoder(file: str) -> Encoder:
     """One encoder a file and worker process, kept between tasks; its ids are those of the library's own call."""
     if file not in _encoders:
-        _encoders[file] = Encoder(file, literal=False)
+        _encoders[file] = Encoder(file)
     return _encoders[file]
 
 
