@@ -92,6 +92,24 @@ def test_bounds_keep_the_pairs():
         assert diff._pair(old, new, 3, 5) == plain_pairs(old, new, 3, 5)
 
 
+def test_ratios_are_those_of_the_library(monkeypatch):
+    rng = random.Random(2)
+    some = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    texts = [some(letters, most) for letters in ("ab ", "abcdefghij 12", "eeeeettaoinzq7") for most in (30, 150, 500) for _ in range(8)]
+    texts += [t[: k // 2] + "x1" + t[k:] for t in texts for k in (5, 60)]
+    for old, new in zip(rng.choices(texts, k=400), rng.choices(texts, k=400), strict=True):
+        pairs = [old[i : i + 2] for i in range(len(old) - 1)]
+        expected, least = diff.SequenceMatcher(None, old, new).ratio(), rng.random()
+        assert diff._Matcher(new).ratio(old, pairs, 0.0) == expected
+        assert (found := diff._Matcher(new).ratio(old, pairs, least)) == expected or found < 0 and expected < least
+    # Unrelated lines are told apart without the library's comparison, which takes a hundred times as long as the bounds.
+    calls = []
+    monkeypatch.setattr(diff.SequenceMatcher, "ratio", lambda self: calls.append(1) or 0.0)
+    lines = [{"key": " ".join(some("abcdefghijklmnopqrst", 9) for _ in range(20)), "location": "body", "tag": "p"} for _ in range(12)]
+    diff._pair(lines[:6], lines[6:], 0, 0)
+    assert not calls
+
+
 def test_word_segments(spark):
     got = diff.with_word_diff(spark.createDataFrame([("Rs 999 per month", "Rs 1499 per month")], "before string, after string")).first().segments
     assert [(s.op, s.before, s.after) for s in got] == [("equal", "Rs ", "Rs "), ("delete", "999 ", ""), ("insert", "", "1499 "), ("equal", "per month", "per month")]
