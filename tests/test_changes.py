@@ -206,3 +206,14 @@ def test_narration(spark):
     assert told["a b c d e f g"].llm_status == "skipped"
     facts = spark.createDataFrame([("ok", True, "rs 999", None, "Rs 999/month", "x"), ("ok", False, "", "", "a", "b"), ("failed", False, "zzz", "", "a", "b")], "llm_status string, is_meaningful boolean, claimed_before string, claimed_after string, before string, after string")
     assert [x.reject_reason for x in narrate.validate(facts).collect()] == [None, "not meaningful", "not grounded"]
+
+
+def test_each_search_of_a_detector_stands_once_in_the_plan(spark):
+    rows = spark.createDataFrame([("a plan for $5", "a pro plan for $7 per month", "text_change", "pricing", 0.5)], "before string, after string, change_type string, location string, magnitude double")
+    df = classify.classify(rows)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(classify.P.any_case(classify.P.PLAN_NAME)) <= 2  # the flag, and the name in the evidence
+    assert plan.count(classify.P.any_case(classify.P.BILLING_PERIOD)) == 1
+    got, (best, second, *_) = df.first(), classify.detect(rows).first().detected
+    assert (got.category, got.evidence) == (best.category, best.evidence) and got.signals["detector_score"] == round(best.score, 4) and got.signals["detector_margin"] == round(best.score - second.score, 4)
+    assert classify.scores(rows).first().scores.asDict() == {x.category: x.score for x in classify.detect(rows).first().detected}
