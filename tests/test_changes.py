@@ -4,7 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
+from changelens.arrow import with_python
 from changelens.operators import classify, diff, html, narrate, noise, relevance
 from changelens.plans import evaluate
 
@@ -217,3 +219,13 @@ def test_each_search_of_a_detector_stands_once_in_the_plan(spark):
     got, (best, second, *_) = df.first(), classify.detect(rows).first().detected
     assert (got.category, got.evidence) == (best.category, best.evidence) and got.signals["detector_score"] == round(best.score, 4) and got.signals["detector_margin"] == round(best.score - second.score, 4)
     assert classify.scores(rows).first().scores.asDict() == {x.category: x.score for x in classify.detect(rows).first().detected}
+
+
+def test_arrow_batches_are_bounded_where_the_user_set_no_bound(spark):
+    own, rows = spark.newSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    step = lambda: with_python(own.range(1), ["id"], StructField("x", LongType()), lambda v: v)
+    step()
+    assert own.conf.get(rows) == "1000"
+    own.conf.set(rows, "7")
+    step()
+    assert own.conf.get(rows) == "7"
