@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from changelens.operators import snapshots
 from changelens.plans import analytics, evaluate, pipeline
 from changelens.sources import captures as sources
+from changelens.sources.store import kept
 from changelens.streaming import captures as streaming
 
 from .test_changes import V1, V2
@@ -93,6 +94,26 @@ def test_scan_of_pages(spark):
     assert len(shared) > len(got) / 2 and all(r.category == pairs[r.tracked_url_id, r.seq].category for r in shared)
 
 
+def test_scan_of_pages_reads_each_page_once(spark):
+    """What a scan has parsed, aligned and judged is read by later steps as a table: no Python step is left in the plan of its result."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["scan_changes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "kept-" in plan
+
+
+def test_scan_of_changes_alone_is_that_with_snapshots(spark):
+    old, new = V1, V2
+    rows = [(1, 1, 1, "https://f.com/pricing", "2024-01-01", old, None), (2, 1, 1, "https://f.com/pricing", "2024-01-03", new, None), (3, 2, 1, "https://f.com/x", "2024-01-01", "", None), (4, 2, 1, "https://f.com/x", "2024-01-02", new, None)]
+    captures = spark.createDataFrame(rows, "id long, tracked_url_id long, competitor_id long, url string, timestamp string, html string, error string").withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
+    names = spark.createDataFrame([(1, "FIRM")], "id long, name string")
+    whole, alone = pipeline.scan(captures, names), pipeline.scan(captures, names, keep=kept, storing=False)
+    found = lambda scan: sorted((r.tracked_url_id, r.snapshot_id, r.seq, r.before, r.after, r.category, r.relevance_score, r.change_key) for r in scan.changes.collect())
+    assert alone.snapshots is None and found(alone) == found(whole) and {r[0] for r in found(alone)} == {1, 2}
+    # A page without a body is compared by lines with what came after it.
+    assert all(r[3] == "" for r in found(alone) if r[0] == 2)
+
+
 def test_report_counts_completed_pages_only(spark):
     pages = spark.createDataFrame([("a.com", "completed", 100, 80, 20, 8, {"pricing": 2, "features": 3}), ("b.com", "completed", 50, 40, 10, 4, {"pricing": 1, "hiring": 2}), ("c.com", "no_snapshots", 0, 0, 0, 0, {})], "url string, status string, raw_changes int, noise_changes int, meaningful_changes int, high_impact_changes int, categories map<string,int>")
     r = evaluate.merge_report(pages).first()
