@@ -1,6 +1,7 @@
 """Blocks, alignment, noise rules, classes and scores."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,20 @@ def test_word_segments(spark):
     assert [(s.op, s.before, s.after) for s in got] == [("equal", "Rs ", "Rs "), ("delete", "999 ", ""), ("insert", "", "1499 "), ("equal", "per month", "per month")]
 
 
+def test_word_segments_of_lines_with_a_common_start_need_no_search(monkeypatch):
+    library, calls, some = diff.SequenceMatcher, [], random.Random(5)
+    for _ in range(5000):
+        start = [some.choice("abc"[: some.randint(1, 3)]) for _ in range(some.randint(0, 9))] * some.randint(1, 3)
+        old, new = ([*start, *(some.choice("abcxy") for _ in range(some.randint(0, 6)))] for _ in range(2))
+        assert diff._opcodes(old, new) == library(None, old, new, autojunk=False).get_opcodes()
+    for text in ("", " ", "a", " a b", "a  b\u00a0c ", "a b c", "a\0b c", "\x1ca b\n", "é ü\u2003x"):
+        assert diff._words(text) == re.findall(r"\S+\s*", text)
+    monkeypatch.setattr(diff, "SequenceMatcher", lambda *a, **k: calls.append(len(a[1])) or library(*a, **k))
+    line = " ".join(f"word{k % 40}" for k in range(300))
+    assert [x["op"] for x in diff.word_segments(f"{line} 5 projects", f"{line} $79 per user")] == ["equal", "delete", "insert"]
+    assert [x["op"] for x in diff.word_segments(line, "nothing of it")] == ["delete", "insert"] and not calls
+
+
 @pytest.mark.parametrize(
     ("before", "after", "location", "magnitude", "reason"),
     [
