@@ -113,6 +113,29 @@ def test_ratios_are_those_of_the_library(monkeypatch):
     assert not calls
 
 
+def test_long_lines_are_bounded_together(monkeypatch):
+    rng = random.Random(3)
+    letters, signs = "eeeeettttaaaooinshr ", "bvkjxqz0123456789-,;你好世界ñ"
+    some = lambda n: "".join(rng.choice(letters) if rng.random() < 0.93 else rng.choice(signs) for _ in range(n))
+    texts = [some(rng.choice((0, 3, 150, 199, 200, 201, 450, 900))) for _ in range(36)]
+    texts += ["".join(rng.choice(texts)[k : k + 90] for k in (0, 100, 0)) for _ in range(12)] + [t[: len(t) // 2] + "-7-" + t[len(t) // 2 + 5 :] for t in texts[:12]] + [some(5) * 60, "q" * 250]
+    old, new = ([{"key": t, "location": "body", "tag": "p"} for t in rng.sample(texts, len(texts))] for _ in range(2))
+    for at_once in (1_000_000, 20_000):  # in one part, and in many
+        monkeypatch.setattr(diff._Region, "AT_ONCE", at_once)
+        region = diff._Region(old, new)
+        for first in range(0, len(old), region.rows):
+            bounds = region.bounds(first, min(first + region.rows, len(old)), 0.0)
+            for i, row in enumerate(bounds):
+                assert all(bound >= diff.similarity(old[first + i]["key"], x["key"]) for bound, x in zip(row, new, strict=True) if x["key"])
+        assert diff._pair(old, new, 0, 0) == plain_pairs(old, new, 0, 0)
+    # Unrelated long lines are not compared one by one at all.
+    calls, ratio = [], diff._Matcher.ratio
+    monkeypatch.setattr(diff._Matcher, "ratio", lambda *of: calls.append(1) or ratio(*of))
+    lines = [{"key": some(rng.randint(250, 500)), "location": "body", "tag": "p"} for _ in range(40)]
+    diff._pair(lines[:20], lines[20:], 0, 0)
+    assert len(calls) < 20
+
+
 def test_word_segments(spark):
     got = diff.with_word_diff(spark.createDataFrame([("Rs 999 per month", "Rs 1499 per month")], "before string, after string")).first().segments
     assert [(s.op, s.before, s.after) for s in got] == [("equal", "Rs ", "Rs "), ("delete", "999 ", ""), ("insert", "", "1499 "), ("equal", "per month", "per month")]
