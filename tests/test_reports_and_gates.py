@@ -144,3 +144,14 @@ def test_payloads_cut_at_every_length_never_gain_a_value():
         found = find_object(text_[:n])
         assert found is None or all(k in whole and (whole[k] == v or k == "score" or (k == "title" and whole[k].startswith(v))) for k, v in found.items())
     assert find_object(text_) == whole and find_object(text_[:-1]) == whole
+
+
+def test_narration_judges_no_noise(spark, monkeypatch):
+    from changelens.plans import evaluate, queries
+
+    rows, seen, survivors = queries.change_rows(spark, "/root/testdata/sf0.001"), [], queries.classify.classify_survivors
+    monkeypatch.setattr(queries.classify, "classify_survivors", lambda df: seen.append(df.filter("is_noise").count()) or survivors(df))
+    got = {(r.doc_id, r.seq, r.title, r.summary) for r in queries.QUERIES["narration"](spark, "/root/testdata/sf0.001").collect()}
+    assert seen == [0]
+    told = narrate.narrate(narrate.candidates(evaluate.judged(rows)).withColumn("subject", F.concat(F.lit("C"), F.col("doc_id").cast("string"))))
+    assert got and got == {(r.doc_id, r.seq, r.title, r.summary) for r in told.collect()}

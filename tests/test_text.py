@@ -118,3 +118,14 @@ def test_masking_matches_a_plain_loop(spark, values):
 
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.strip_dynamic_tokens("v").alias("x")).collect()
     assert all(r.x == mask(r.v) for r in rows)
+
+
+def test_all_white_space_is_seen_before_it_is_replaced(spark):
+    """Texts that hold nothing to collapse are passed over: what decides it must find all that the replacements would."""
+    signs = [chr(i) for i in range(0x10000) if not 0xD800 <= i <= 0xDFFF and i not in (0, 32)]
+    df = spark.createDataFrame([(c,) for c in signs], "c string")
+    changed = F.col("c").rlike(r"(?U)\s") | F.col("c").rlike(text.ZERO_WIDTH)
+    assert df.filter(changed).count() > 30 and df.filter(changed & ~F.col("c").rlike(text._UNEVEN)).isEmpty()
+    odd = spark.createDataFrame([("a  b",), (" a b ",), ("a\u2003b",), ("a\u200bb",), ("\ta b",), ("a b",), (None,)], "c string")
+    assert [r[0] for r in odd.select(text.collapse_whitespace("c")).collect()] == ["a b", "a b", "a b", "ab", "a b", "a b", ""]
+    assert [r[0] for r in odd.select(text.shorten("c", 2)).collect()] == ["a…"] * 3 + ["a…"] * 3 + [""]
